@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import simhash, substring, toxicity
+from tessera.llm import pii, simhash, substring, toxicity
 from tessera.llm.common import table
 
 QUERIES = {
     "op2_substring_dedup": lambda spark, d: substring.dedup_substrings(table(spark, d, "documents")),
+    "op6_pii": lambda spark, d: pii.find(table(spark, d, "documents")),
     "op8_simhash_near_dedup": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op9_toxicity": lambda spark, d: toxicity.score(table(spark, d, "documents"), table(spark, d, "labels")),
 }
