@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import pii, simhash, substring, toxicity
+from tessera.llm import pii, sentencepiece_fst, simhash, substring, toxicity
 from tessera.llm.common import table
 
 QUERIES = {
+    "op1_sentencepiece": lambda spark, d: sentencepiece_fst.encode(table(spark, d, "documents")),
     "op2_substring_dedup": lambda spark, d: substring.dedup_substrings(table(spark, d, "documents")),
     "op6_pii": lambda spark, d: pii.find(table(spark, d, "documents")),
     "op8_simhash_near_dedup": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
