@@ -34,7 +34,7 @@ from tessera.llm import common as C
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Chunks remembered by each worker.
-CACHE = 400_000
+CACHE = 700_000
 _INF = float("inf")
 
 
@@ -49,9 +49,9 @@ class Transducer:
         self.ids = {p: i for i, (p, _, k) in enumerate(pieces) if k == NORMAL}
         self.score = [s for _, s, _ in pieces]
         self.text = [p for p, _, _ in pieces]
+        self._scores = {p: s for p, s, k in pieces if k == NORMAL}
         self.unk = next((i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE} if byte_fallback else {}
-        self.longest = max(map(len, self.ids), default=1)
         self.unk_weight = 10.0 - min((s for _, s, k in pieces if k == NORMAL), default=0.0)
         joined = [p for p in self.ids if len(p) > 1]
         self.cuts = not any(MARK in p.lstrip(MARK) for p in joined)
@@ -59,7 +59,11 @@ class Transducer:
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in joined))
         c = re.escape(alone)
         self._chunks = re.compile(f"{MARK}*[^{MARK}{c}]+|{MARK}+" + (f"|[{c}]" if alone else "")) if self.cuts else re.compile(r"(?s).+")
-        self._pairs: dict[int, bool] = {}
+        if bpe:  # pieces that the merges never form have no arc
+            self.ids = {p: i for p, i in self.ids.items() if len(p) == 1 or self._merged(p) == [p]}
+        #: prefix tree of the pieces: id, or -1 for a prefix that is no piece
+        self._arcs: dict[str, int] = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
+        self._after: dict[int, dict[int, bool]] = {}
         self._cache: dict[str, bytes] = {}
         self._raw = [b"" if k in (CONTROL,) else bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in pieces]
 
@@ -88,49 +92,66 @@ class Transducer:
 
     def _merged(self, text: str) -> list[str]:
         """BPE by its definition, for the weights of arcs: best score first, then leftmost."""
-        s = list(text)
-        while len(s) > 1:
-            best, at = -_INF, -1
-            for k in range(len(s) - 1):
-                i = self.ids.get(s[k] + s[k + 1])
-                if i is not None and (self.score[i] > best or at < 0):
-                    best, at = self.score[i], k
-            if at < 0:
+        s, get = list(text), self._scores.get
+        joins = [get(a + b, -_INF) for a, b in zip(s, s[1:], strict=False)]
+        while joins:
+            best = max(joins)
+            if best == -_INF:
                 break
+            at = joins.index(best)
             s[at : at + 2] = [s[at] + s[at + 1]]
+            del joins[at]
+            if at:
+                joins[at - 1] = get(s[at - 1] + s[at], -_INF)
+            if at < len(joins):
+                joins[at] = get(s[at] + s[at + 1], -_INF)
         return s
 
     def _follows(self, last: int, piece: int) -> bool:
-        """Whether the arc for ``piece`` after ``last`` has weight 0 (last < 0: none before)."""
-        key = (last + 1) * len(self.score) + piece
-        known = self._pairs.get(key)
-        if known is None:
-            parts = [self.text[piece]] if last < 0 else [self.text[last], self.text[piece]]
-            known = self._pairs[key] = self._merged("".join(parts)) == parts
+        """Whether the arc for ``piece`` after ``last`` has weight 0."""
+        parts = [self.text[last], self.text[piece]]
+        known = self._after[last][piece] = self._merged("".join(parts)) == parts
         return known
 
     # --- shortest path
 
     def _path(self, chunk: str) -> list[int]:
-        ids, follows = self.ids, self._follows
+        arcs, bpe = self._arcs, self.bpe
         n = len(chunk)
-        weight = [0.0] + [_INF] * n
+        weight = [_INF] * (n + 1)
+        weight[0] = 0.0
         last = [-1] * (n + 1)
         back = [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                piece = ids.get(chunk[j:i])
-                if piece is None or (self.bpe and weight[j] == _INF):
+        for j in range(n):
+            here, before = weight[j], last[j]
+            if here == _INF:
+                continue
+            if bpe and before >= 0:
+                after = self._after.get(before)
+                if after is None:
+                    after = self._after[before] = {}
+            for i in range(j + 1, n + 1):
+                piece = arcs.get(chunk[j:i])
+                if piece is None:
+                    break
+                if piece < 0:
                     continue
-                if self.bpe:
-                    if follows(-1, piece) and (last[j] < 0 or follows(last[j], piece)):
-                        weight[i], last[i], back[i] = 0.0, piece, j
-                        break
-                elif weight[j] - self.score[piece] < weight[i]:
-                    weight[i], last[i], back[i] = weight[j] - self.score[piece], piece, j
-            if last[i] < 0 and chunk[i - 1] not in ids:
+                if bpe:
+                    if weight[i] == _INF:
+                        ok = True
+                        if before >= 0:
+                            ok = after.get(piece)
+                            if ok is None:
+                                ok = self._follows(before, piece)
+                        if ok:
+                            weight[i], last[i], back[i] = 0.0, piece, j
+                elif here - self.score[piece] < weight[i]:
+                    weight[i], last[i], back[i] = here - self.score[piece], piece, j
+            if chunk[j] not in self.ids:
                 # outside the vocabulary: the fallback arc, which nothing merges across
-                weight[i], back[i] = weight[i - 1] + (0.0 if self.bpe else self.unk_weight), i - 1
+                to = here + (0.0 if bpe else self.unk_weight)
+                if to < weight[j + 1]:
+                    weight[j + 1], last[j + 1], back[j + 1] = to, -1, j
         out: list[int] = []
         i = n
         while i > 0:
@@ -172,13 +193,18 @@ _compiled: dict[int, Transducer] = {}
 
 
 def compiled(model: bytes) -> Transducer:
-    """One transducer for each model and worker, with its memory of chunks."""
+    """One transducer for each model, compiled on the driver."""
     key = zlib.crc32(model)
     if key not in _compiled:
         _compiled[key] = Transducer.load(model)
     return _compiled[key]
 
 
+def compiled_once(spark, path: str | None = None):
+    """The compiled transducer as a broadcast (a few MB, whatever the corpus)."""
+    return spark.sparkContext.broadcast(compiled(read_model(path)))
+
+
 def read_model(path: str | None = None) -> bytes:
     """The model file, read on the driver (executors need not have it)."""
     if path is None:
@@ -191,7 +217,7 @@ def read_model(path: str | None = None) -> bytes:
 
 def _encode_rows(model, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = compiled(model.value)
+        fst = model.value
         for batch in batches:
             column = batch.column("text")
             offsets, _ = C.string_buffers(column)
@@ -221,7 +247,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     C.ship(spark)
-    model = spark.sparkContext.broadcast(read_model(path))
+    model = compiled_once(spark, path)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_column().alias("text"))
     return base.mapInArrow(_encode_rows(model, ["doc_id"]), "doc_id long, n_pieces long, ids array<int>, decoded_crc32 long, round_trip boolean")
 
@@ -230,10 +256,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text from doc_id, ids; null ids decode to ""."""
     spark = encoded.sparkSession
     C.ship(spark)
-    model = spark.sparkContext.broadcast(read_model(path))
+    model = compiled_once(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = compiled(model.value)
+        fst = model.value
         for batch in batches:
             texts = [fst.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
