@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import pii, sentencepiece_fst, simhash, substring, toxicity
+from tessera.llm import licenses, pii, sentencepiece_fst, simhash, substring, toxicity
 from tessera.llm.common import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_pii": lambda spark, d: pii.find(table(spark, d, "documents")),
     "op8_simhash_near_dedup": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op9_toxicity": lambda spark, d: toxicity.score(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op10_license_scan": lambda spark, d: licenses.scan(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {}
