@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import licenses, pii, sentencepiece_fst, simhash, substring, toxicity
+from tessera.llm import decontam, licenses, pii, sentencepiece_fst, simhash, substring, toxicity
 from tessera.llm.common import table
 
 QUERIES = {
     "op1_sentencepiece": lambda spark, d: sentencepiece_fst.encode(table(spark, d, "documents")),
     "op2_substring_dedup": lambda spark, d: substring.dedup_substrings(table(spark, d, "documents")),
     "op6_pii": lambda spark, d: pii.find(table(spark, d, "documents")),
+    "op7_decontamination": lambda spark, d: decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op8_simhash_near_dedup": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op9_toxicity": lambda spark, d: toxicity.score(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_license_scan": lambda spark, d: licenses.scan(table(spark, d, "documents")),
