@@ -10,8 +10,8 @@ lower-cased. Phrase places (base) are exact: all of a phrase's 2-grams on one di
 and the same words there. A notice found with at least ``share`` of its words adds its
 label, unless an overlapping notice is found more fully; the score is the largest share of a template found (1 for any base place).
 
-Defined results: a null text is empty; doc_id may be null or repeated (rows are kept
-apart by an id of their own); documents without a match have score 0 and empty labels.
+Defined results: a null text is empty; doc_id may be null or repeated (rows are told
+apart by id and text, equal rows have equal results); documents without a match have score 0 and empty labels.
 """
 
 from __future__ import annotations
@@ -64,7 +64,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
     """
     spark = docs.sparkSession
     templates = _templates(spark, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices)
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_column(text_column()).alias("words"))
+    # rows are told apart by their content: equal rows have equal results
+    row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_column()).alias("text"))
+    base = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_column(text_column()).alias("words"))
 
     grams = F.expr("transform(sequence(0, greatest(size(words) - 2, 0)), i -> xxhash64(words[i], try_element_at(words, i + 2)))")
     template_grams = templates.where("size(template_words) > 1").select("template", F.posexplode(F.expr("transform(sequence(0, size(template_words) - 2), i -> xxhash64(template_words[i], template_words[i + 1]))")).alias("p", "h"))
@@ -73,7 +75,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
         .select("row", F.posexplode(grams).alias("i", "h"))
         .join(F.broadcast(template_grams), "h")
         .groupBy("row", "template", (F.col("i") - F.col("p")).alias("diagonal"))
-        .agg(F.count("*").alias("votes"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+        .agg(F.size(F.collect_set("p")).alias("votes"), F.min("p").alias("lo"), F.max("p").alias("hi"))
     )
     # neighbouring diagonals (an inserted or missing word or two) become one span
     by_diagonal = Window.partitionBy("row", "template").orderBy("diagonal")
@@ -106,7 +108,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
     better = "t.share > s.share or t.share = s.share and t.words > s.words"
     standing = F.expr(f"filter(notices, s -> not exists(notices, t -> t.start < s.end and s.start < t.end and ({better})))")
     return (
-        base.join(spans.hint("shuffle_hash"), "row", "left")
+        base.join(spans.hint("shuffle_hash").withColumnRenamed("row", "at"), F.col("row").eqNullSafe(F.col("at")), "left")
         .select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(places, F.expr("filter(spans, s -> false)")).alias("places"), notices_found.alias("notices"))
         .withColumn("notices", standing)
         .select(
