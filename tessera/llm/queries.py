@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, licenses, pii, sentencepiece_fst, simhash, substring, toxicity, urlfilter
+from tessera.llm import decontam, licenses, pii, quality, sentencepiece_fst, simhash, substring, toxicity, urlfilter
 from tessera.llm.common import table
 
 QUERIES = {
     "op1_sentencepiece": lambda spark, d: sentencepiece_fst.encode(table(spark, d, "documents")),
     "op2_substring_dedup": lambda spark, d: substring.dedup_substrings(table(spark, d, "documents")),
+    "op3_quality_rules": lambda spark, d: quality.judge(table(spark, d, "documents")),
     "op4_url_filter": lambda spark, d: urlfilter.judge(table(spark, d, "pages")),
     "op6_pii": lambda spark, d: pii.find(table(spark, d, "documents")),
     "op7_decontamination": lambda spark, d: decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": lambda spark, d: quality.judge(table(spark, d, "documents")),
     "op4_url_filter": urlfilter.ORACLE,
 }
