@@ -8,7 +8,7 @@ below p that moves both onto positions in D modulo p. So two equal windows conta
 *anchors*, runs of ``window - p + 1`` words at such a common shift, and it is enough to
 hash anchors at positions in D modulo p (6 of 31 positions here). Anchors found in two
 documents are extended: only windows that contain such an anchor are hashed whole, to
-128 bits, and compared.
+96 bits, and compared.
 
 Defined results: a null text has no words; a null doc_id takes part in no comparison and
 its document is kept whole; rows that repeat a doc_id are treated one by one, and equal
@@ -106,7 +106,7 @@ def _window_rows(window: int):
                         batch.column("row_hash").slice(i, j - i).filter(pa.array(has)),
                         _lists((at - w.first[row]).astype(np.int32), counts[has], pa.int32()),
                         _lists(h0.view(np.int64), counts[has], pa.int64()),
-                        _lists(h1.view(np.int64), counts[has], pa.int64()),
+                        _lists((h1 >> np.uint64(32)).astype(np.uint32).view(np.int32), counts[has], pa.int32()),
                     ],
                     names=["doc_id", "row_hash", "start", "h0", "h1"],
                 )
@@ -151,8 +151,9 @@ def dedup_substrings(docs: DataFrame, window: int = 50, with_text: bool = False)
 
     Shuffles hashed anchors (about a fifth of the positions), then only windows around
     anchors that two documents share, and the texts by doc_id. Groups of any size are
-    pre-aggregated to their smallest and largest doc_id; the joins back on a hash are
-    plain shuffled joins, which adaptive execution splits where a hash is frequent.
+    pre-aggregated to their smallest and largest doc_id and written; the joins back on a
+    hash are then plain shuffled joins, which adaptive execution splits where a hash is
+    frequent, and no two of these shuffles need disk at the same time.
     """
     spark = docs.sparkSession
     C.ship(spark)
@@ -166,23 +167,27 @@ def dedup_substrings(docs: DataFrame, window: int = 50, with_text: bool = False)
     anchors = C.Stash(known.mapInArrow(_anchor_rows(window), "doc_id long, row_hash int, pos array<int>, h array<long>"))
     each = anchors.df.select("doc_id", "row_hash", F.explode(F.arrays_zip("pos", "h")).alias("x"))
     each = each.select("doc_id", "row_hash", "x.pos", "x.h")
-    shared = each.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    near = C.cut(each.join(shared, "h").groupBy("doc_id", "row_hash").agg(F.collect_list("pos").alias("pos")))
+    shared = C.Stash(each.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"))
+    C.release(spark)
+    near = C.cut(each.join(shared.df, "h").groupBy("doc_id", "row_hash").agg(F.collect_list("pos").alias("pos")))
     anchors.drop()
+    shared.drop()
     C.release(spark)
 
     windows = C.Stash(
         known.join(near.hint("shuffle_hash"), ["doc_id", "row_hash"])
         .select("doc_id", "row_hash", "text", "pos")
-        .mapInArrow(_window_rows(window), "doc_id long, row_hash int, start array<int>, h0 array<long>, h1 array<long>")
+        .mapInArrow(_window_rows(window), "doc_id long, row_hash int, start array<int>, h0 array<long>, h1 array<int>")
     )
     C.release(spark)
     each = windows.df.select("doc_id", "row_hash", F.explode(F.arrays_zip("start", "h0", "h1")).alias("x"))
     each = each.select("doc_id", "row_hash", "x.start", "x.h0", "x.h1")
-    first = each.groupBy("h0", "h1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    again = each.join(first.drop("hi"), ["h0", "h1"]).where("doc_id > lo")
+    first = C.Stash(each.groupBy("h0", "h1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"))
+    C.release(spark)
+    again = each.join(first.df, ["h0", "h1"]).where("doc_id > lo")
     removed = C.cut(again.groupBy("doc_id", "row_hash").agg(F.collect_list("start").alias("start")))
     windows.drop()
+    first.drop()
     C.release(spark)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
