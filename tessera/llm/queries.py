@@ -18,6 +18,5 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
-    "op3_quality_rules": lambda spark, d: quality.judge(table(spark, d, "documents")),
     "op4_url_filter": urlfilter.ORACLE,
 }
