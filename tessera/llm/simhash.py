@@ -104,6 +104,22 @@ def _shifted(p: np.ndarray, shift: int) -> np.ndarray:
 
 def within(p: np.ndarray, shift: int, radius: int, valid: np.ndarray) -> np.ndarray:
     """Lanes (packed) that differ from the lane ``shift`` on in at most ``radius`` bits."""
+    return _compare(p, shift, radius, valid)[0]
+
+
+def linked(p: np.ndarray, shift: int, radius: int, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of such lanes among those marked in ``same``, and their distances."""
+    valid = np.zeros(p.shape[1] * 64, dtype=np.uint8)
+    valid[: len(same)] = same
+    ok, digits = _compare(p, shift, radius, np.packbits(valid, bitorder="little").view("<u8"))
+    a = np.flatnonzero(np.unpackbits(ok.view(np.uint8), bitorder="little"))
+    distance = np.zeros(len(a), dtype=np.int64)
+    for k, d in enumerate(digits):
+        distance += (d[a // 64] >> (a % 64).astype(np.uint64) & np.uint64(1)).astype(np.int64) << k
+    return a, distance
+
+
+def _compare(p: np.ndarray, shift: int, radius: int, valid: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     q = _shifted(p, shift)
     digits = [np.zeros(p.shape[1], dtype=np.uint64) for _ in range((radius + 1).bit_length())]
     over = ~valid
@@ -119,7 +135,7 @@ def within(p: np.ndarray, shift: int, radius: int, valid: np.ndarray) -> np.ndar
             over |= reached
             if bool((over == np.uint64(0xFFFFFFFFFFFFFFFF)).all()):
                 break
-    return ~over
+    return ~over, digits
 
 
 def _at_least(digits: list[np.ndarray], limit: int) -> np.ndarray:
@@ -148,10 +164,7 @@ def link_stars(bucket: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
         same = bucket[shift:] == bucket[:-shift]
         if not same.any():
             break
-        valid = np.zeros(p.shape[1] * 64, dtype=np.uint8)
-        valid[: n - shift] = same
-        ok = within(p, shift, radius, np.packbits(valid, bitorder="little").view("<u8"))
-        a = np.flatnonzero(np.unpackbits(ok.view(np.uint8), bitorder="little"))
+        a, _ = linked(p, shift, radius, same)
         b = a + shift
         while len(a):
             ra, rb = parent[a], parent[b]
