@@ -252,8 +252,8 @@ query("moving_avg", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_i
     lambda t: W.moving_average(t.events.select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"], "value").select("event_id", F.round("moving_avg", 6).alias("moving_avg"))
 )
 _ROWS20 = f"OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, {LINE_SQL} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
-query("vwap", f"SELECT {LINE_SQL}, round(CASE WHEN sum(l_quantity) {_ROWS20} > 0 THEN sum(l_extendedprice * l_quantity) {_ROWS20} / sum(l_quantity) {_ROWS20} ELSE 0 END, 4) AS vwap FROM lineitem")(
-    lambda t: W.vwap(t.lineitem.select(*LINE, "l_extendedprice", "l_quantity"), "l_suppkey", ["l_shipdate", *LINE], "l_extendedprice", "l_quantity").select(*LINE, F.round("vwap", 4).alias("vwap"))
+query("vwap", f"SELECT {LINE_SQL}, CAST(CASE WHEN sum(l_quantity) {_ROWS20} > 0 THEN sum(l_extendedprice * l_quantity) {_ROWS20} / sum(l_quantity) {_ROWS20} ELSE 0 END AS FLOAT) AS vwap FROM lineitem")(
+    lambda t: W.vwap(t.lineitem.select(*LINE, "l_extendedprice", "l_quantity"), "l_suppkey", ["l_shipdate", *LINE], "l_extendedprice", "l_quantity").select(*LINE, c("vwap").cast("float").alias("vwap"))
 )
 query("prefix_sum", "SELECT o_orderkey, CAST(coalesce(sum(o_custkey) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prefix FROM orders")(
     lambda t: R.prefix_sum(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey", [], "o_custkey").select("o_orderkey", "prefix")
