@@ -3,7 +3,7 @@
 Every rolling word 2-gram of every document is hashed and joined with the 2-grams of the
 templates (license notices and phrases). A match at document word i and template word p
 votes for the diagonal i - p. Votes are counted by diagonal, neighbouring diagonals of a
-template are merged into one span, and spans are verified against the document's words.
+template are merged into one span, and every vote is verified against the document's words.
 
 Words are runs of ASCII letters and digits and of all characters above ASCII, with A-Z
 lower-cased. Phrase places (base) are exact: all of a phrase's 2-grams on one diagonal,
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import cut, text_column
+from tessera.llm.common import Stash, text_column
 
 #: Phrases of the base labels (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -56,69 +56,81 @@ def _templates(spark, phrases: dict[str, str], notices: dict[str, str]) -> DataF
     return spark.createDataFrame(rows, "template int, label string, template_words array<string>, base boolean")
 
 
+#: Hash of the row that stands for the document itself, so that each document joins.
+_SELF = 0
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None, share: float = 0.8, reach: int = 2) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    The 2-grams stream through a broadcast join with the templates (a few hundred rows,
-    given as literals), so only matches are shuffled.
+    One pass over the texts: the 2-grams stream through a broadcast join with the
+    templates (a few hundred rows, given as literals), which also compares the words, so
+    only matches and one row for each document are shuffled.
     """
     spark = docs.sparkSession
     templates = _templates(spark, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices)
     # rows are told apart by their content: equal rows have equal results
     row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_column()).alias("text"))
-    base = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_column(text_column()).alias("words"))
-
-    grams = F.expr("transform(sequence(0, greatest(size(words) - 2, 0)), i -> xxhash64(words[i], try_element_at(words, i + 2)))")
-    template_grams = templates.where("size(template_words) > 1").select("template", F.posexplode(F.expr("transform(sequence(0, size(template_words) - 2), i -> xxhash64(template_words[i], template_words[i + 1]))")).alias("p", "h"))
-    found = (
-        base.where("size(words) > 1")
-        .select("row", F.posexplode(grams).alias("i", "h"))
+    base = docs.select(row.alias("row"), words_column(text_column()).alias("words"))
+
+    pairs = "transform(sequence(0, size(words) - 2), i -> xxhash64(words[i], words[i + 1]))"
+    grams = F.expr(f"if(size(words) > 1, concat(array({_SELF}L), {pairs}), array({_SELF}L))")
+    template_grams = (
+        templates.where("size(template_words) > 1")
+        .select("template", F.posexplode(F.expr("transform(sequence(0, size(template_words) - 2), i -> struct(template_words[i] as w1, template_words[i + 1] as w2))")).alias("p", "w"))
+        .select(F.xxhash64("w.w1", "w.w2").alias("h"), "template", "p", "w.w1", "w.w2")
+        .unionByName(spark.createDataFrame([(_SELF, -1, 0, None, None)], "h long, template int, p int, w1 string, w2 string"))
+    )
+    # i - 1 is the document word of a 2-gram; 0 stands for the document
+    met = (
+        base.select("row", "words", F.posexplode(grams).alias("i", "h"))
         .join(F.broadcast(template_grams), "h")
-        .groupBy("row", "template", (F.col("i") - F.col("p")).alias("diagonal"))
-        .agg(F.size(F.collect_set("p")).alias("votes"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+        .where("template = -1 and i = 0 or get(words, i - 1) = w1 and get(words, i) = w2")
+        .select("row", F.size("words").cast("long").alias("n_words"), "template", "p", (F.col("i") - 1 - F.col("p")).alias("diagonal"))
     )
-    # neighbouring diagonals (an inserted or missing word or two) become one span
+    votes = Stash(met.groupBy("row", "n_words", "template", "diagonal").agg(F.count("*").alias("rows"), F.collect_set("p").alias("ps"))).df
+    named = votes.join(F.broadcast(templates), "template")
+
+    # a phrase stands where all of its 2-grams lie on one diagonal
+    places = (
+        named.where("base and size(ps) = size(template_words) - 1")
+        .groupBy("row")
+        .agg(F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("found"))
+    )
+    # neighbouring diagonals (an inserted or missing word or two) become one span, whose
+    # verified words are the template words that its 2-grams cover
     by_diagonal = Window.partitionBy("row", "template").orderBy("diagonal")
-    merged = (
-        found.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > reach).cast("int"))
+    spans = (
+        named.where("not base")
+        .withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > reach).cast("int"))
         .withColumn("span", F.coalesce(F.sum("new").over(by_diagonal), F.lit(0)))
-        .join(F.broadcast(templates), "template")
-    )
-    exact = merged.where("base and votes = size(template_words) - 1").select("row", "template", "base", "label", "template_words", F.col("diagonal").alias("start"), F.col("diagonal").alias("end"), "votes")
-    near = (
-        merged.where("not base")
-        .groupBy("row", "template", "base", "label", "template_words", "span")
-        .agg(F.min(F.col("diagonal") + F.col("lo")).alias("start"), F.max(F.col("diagonal") + F.col("hi") + 1).alias("end"), F.sum("votes").alias("votes"))
-        .drop("span")
-        # with v votes no more than 2 v words agree
-        .where(2 * F.col("votes") >= share * F.size("template_words"))
+        .groupBy("row", "template", "label", "template_words", "span")
+        .agg(F.flatten(F.collect_list("ps")).alias("ps"), F.min(F.col("diagonal") + F.array_min("ps")).alias("start"), F.max(F.col("diagonal") + F.array_max("ps") + 2).alias("end"))
+        .select("row", "label", "start", "end", F.size("template_words").alias("words"), F.expr("size(array_distinct(concat(ps, transform(ps, p -> p + 1)))) / size(template_words)").alias("share"))
+        .where(F.col("share") >= share)
     )
-    columns = ["template", "base", "label", "template_words", "start", "end", "votes"]
-    spans = cut(exact.select("row", *columns).unionByName(near.select("row", *columns)).groupBy("row").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("spans")))
-
-    # verify against the words: a phrase word for word, a notice by its words in the span
-    places = F.expr("filter(spans, s -> s.base and slice(words, s.start + 1, size(s.template_words)) = s.template_words)")
-    part = "slice(words, greatest(s.start, 0) + 1, s.end - greatest(s.start, 0) + 1)"
-    share_found = f"size(filter(s.template_words, w -> array_contains({part}, w))) / size(s.template_words)"
-    notices_found = F.expr(
-        "filter(transform(filter(spans, s -> not s.base), s -> struct(s.label as label, s.start as start, s.end as end, "
-        f"size(s.template_words) as words, {share_found} as share)), s -> s.share >= {share})"
-    )
-    # of notices that overlap, the one found more fully stands, then the longer
     better = "t.share > s.share or t.share = s.share and t.words > s.words"
-    standing = F.expr(f"filter(notices, s -> not exists(notices, t -> t.start < s.end and s.start < t.end and ({better})))")
+    notices_found = spans.groupBy("row").agg(F.collect_list(F.struct("label", "start", "end", "words", "share")).alias("notices")).select(
+        "row",
+        # of notices that overlap, the one found more fully stands, then the longer
+        F.expr(f"filter(notices, s -> not exists(notices, t -> t.start < s.end and s.start < t.end and ({better})))").alias("notices"),
+    )
+    each = votes.where("template = -1").select("row", "n_words", "rows")
+    place, notice = places.withColumnRenamed("row", "row1"), notices_found.withColumnRenamed("row", "row2")
     return (
-        base.join(spans.hint("shuffle_hash").withColumnRenamed("row", "at"), F.col("row").eqNullSafe(F.col("at")), "left")
-        .select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(places, F.expr("filter(spans, s -> false)")).alias("places"), notices_found.alias("notices"))
-        .withColumn("notices", standing)
+        each.join(place, F.col("row").eqNullSafe(F.col("row1")), "left")
+        .join(notice, F.col("row").eqNullSafe(F.col("row2")), "left")
+        .withColumn("more", F.coalesce(F.expr("transform(notices, s -> s.label)"), F.array().cast("array<string>")))
+        .withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+        .withColumn("copy", F.explode(F.expr("sequence(1L, rows)")))
         .select(
-            "doc_id",
+            "row.doc_id",
             "n_words",
-            F.coalesce(F.when(F.col("places").isNotNull(), F.size("places")), F.lit(0)).cast("long").alias("n_base"),
-            F.expr("array_min(transform(places, s -> s.start))").cast("long").alias("first_word"),
-            F.expr("array_max(transform(places, s -> s.start))").cast("long").alias("last_word"),
-            F.coalesce(F.expr("array_join(array_sort(array_distinct(transform(places, s -> s.label))), ',')"), F.lit("")).alias("base_labels"),
-            F.coalesce(F.expr("array_join(array_sort(array_distinct(concat(transform(places, s -> s.label), transform(notices, s -> s.label)))), ',')"), F.lit("")).alias("labels"),
-            F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.expr("array_max(transform(notices, s -> s.share))"), F.lit(0.0))).cast("double").alias("score"),
+            F.coalesce("n_base", F.lit(0)).alias("n_base"),
+            F.col("first_word").cast("long"),
+            F.col("last_word").cast("long"),
+            F.array_join(F.array_sort("found"), ",").alias("base_labels"),
+            F.array_join(F.array_sort(F.array_union("found", "more")), ",").alias("labels"),
+            F.when(F.size("found") > 0, F.lit(1.0)).otherwise(F.coalesce(F.expr("array_max(transform(notices, s -> s.share))"), F.lit(0.0))).cast("double").alias("score"),
         )
     )
