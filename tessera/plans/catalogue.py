@@ -102,12 +102,24 @@ query("multi_mask_and", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quan
 query("multi_mask_or", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 49 OR l_tax < 0.01 OR l_discount > 0.09")(
     lambda t: t.lineitem.where(P.mask(P.any_of(c("l_quantity") > 49, c("l_tax") < 0.01, c("l_discount") > 0.09))).select("l_orderkey", "l_partkey")
 )
-_HOLE = F.when(c("event_id") % 3 != 0, c("value"))
-query("filter_nullable", "SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS v FROM events) WHERE v > 8")(lambda t: t.events.select("event_id", _HOLE.alias("v")).where("v > 8").select("event_id"))
-query("mask_nullable", "SELECT event_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN value END > 8, false) AS m FROM events")(lambda t: t.events.select("event_id", P.mask(_HOLE > 8).alias("m")))
-_NAN = F.when(c("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(c("value"))
+
+
+def _hole():
+    """event values with a null in every third row"""
+    return F.when(c("event_id") % 3 != 0, c("value"))
+
+
+query("filter_nullable", "SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS v FROM events) WHERE v > 8")(lambda t: t.events.select("event_id", _hole().alias("v")).where("v > 8").select("event_id"))
+query("mask_nullable", "SELECT event_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN value END > 8, false) AS m FROM events")(lambda t: t.events.select("event_id", P.mask(_hole() > 8).alias("m")))
+
+
+def _nan():
+    """event values with NaN in every fifth row"""
+    return F.when(c("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(c("value"))
+
+
 query("filter_nan", "SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'NaN'::DOUBLE ELSE value END AS v FROM events) WHERE v > 8 AND NOT isnan(v)")(
-    lambda t: t.events.select("event_id", _NAN.alias("v")).where(P.compare(c("v"), ">", 8.0, True)).select("event_id")
+    lambda t: t.events.select("event_id", _nan().alias("v")).where(P.compare(c("v"), ">", 8.0, True)).select("event_id")
 )
 query("compact_positions", "SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS pos FROM events WHERE value > 15")(
     lambda t: R.row_index(t.events.where("value > 15").select("event_id"), "event_id", [], "pos")
@@ -176,7 +188,7 @@ query("headline", f"SELECT l_returnflag, count(*) AS n, {money_sql('l_quantity')
     lambda t: t.lineitem.where("l_discount < 0.05").groupBy("l_returnflag").agg(F.count("*").alias("n"), A.money("l_quantity").alias("sum_qty"), A.money("l_extendedprice").alias("sum_price"))
 )
 query("agg_count_star", "SELECT count(*) AS n FROM lineitem")(lambda t: t.lineitem.agg(F.count("*").alias("n")))
-query("agg_count_col", "SELECT count(CASE WHEN event_id % 3 <> 0 THEN value END) AS n FROM events")(lambda t: t.events.agg(F.count(_HOLE).alias("n")))
+query("agg_count_col", "SELECT count(CASE WHEN event_id % 3 <> 0 THEN value END) AS n FROM events")(lambda t: t.events.agg(F.count(_hole()).alias("n")))
 query("agg_sum", f"SELECT CAST(sum(l_orderkey) AS BIGINT) AS sum_key, {money_sql('l_extendedprice')} AS sum_price FROM lineitem")(lambda t: t.lineitem.agg(F.sum("l_orderkey").alias("sum_key"), A.money("l_extendedprice").alias("sum_price")))
 query("agg_avg", "SELECT round(avg(l_quantity), 6) AS avg_qty, round(avg(l_linenumber), 6) AS avg_line FROM lineitem")(lambda t: t.lineitem.agg(F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.round(F.avg("l_linenumber"), 6).alias("avg_line")))
 query("agg_min_max", "SELECT min(l_orderkey) AS lo, max(l_orderkey) AS hi, min(l_extendedprice) AS lo_price, max(l_extendedprice) AS hi_price, min(l_returnflag) AS lo_flag, max(l_shipdate) AS hi_date FROM lineitem")(
