@@ -19,5 +19,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": substring.ORACLE,
     "op4_url_filter": urlfilter.ORACLE,
 }

@@ -196,3 +196,23 @@ def dedup_substrings(docs: DataFrame, window: int = 50, with_text: bool = False)
         .select("doc_id", "text", "start")
         .mapInArrow(_kept_rows(window, with_text), schema)
     )
+
+
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)
+), lowest AS (
+  SELECT s, min(doc_id) AS m FROM win GROUP BY s
+), hit AS (
+  SELECT DISTINCT doc_id, i FROM win JOIN lowest USING (s) WHERE m < doc_id
+), cov AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM hit
+), word AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS x FROM d
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS t FROM word ANTI JOIN cov USING (doc_id, k) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
