@@ -35,6 +35,7 @@ DIM = 4
 #: Features of fewer training documents are not learned: they could only memorise.
 LEAST_DOCS = 5
 DECAY = 1e-5
+STEPS = 400
 #: A mean over thousands of features is small; this scale keeps its gradient usable.
 SCALE = 30.0
 _CODE = np.uint64(0x9E3779B97F4A7C15)
@@ -96,9 +97,11 @@ def score_texts(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(SCALE * mean + bias, -60, 60)))
 
 
-def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int = 8, batch: int = 64, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int | None = None, batch: int = 64, seed: int = 7) -> tuple[np.ndarray, float]:
     """Train embeddings and softmax jointly; returns the folded table and the intercept."""
     rng = np.random.default_rng(seed)
+    # about STEPS updates at any size of the sample, and eight passes at least
+    epochs = epochs or max(8, -(-STEPS * batch // max(len(texts), 1)))
     bags = []
     for t in texts:
         got = [b for _, b in Characters([t]).features()]
