@@ -1,8 +1,8 @@
 """Personal data: exact patterns plus a character BiLSTM-CRF trained in numpy.
 
 Base spans come from four patterns (email, ip, card, phone), leftmost and
-non-overlapping within a kind. A bidirectional LSTM over characters with a
-CRF on top (tags O and B/I of each kind) learns the labelled spans of a bounded sample of
+non-overlapping within a kind. A bidirectional LSTM over characters (input
+and forget gates coupled) with a CRF on top (tags O and B/I of each kind) learns the labelled spans of a bounded sample of
 documents and adds spans that it finds elsewhere; base spans stay. Texts are cut into
 overlapping windows, each window is decoded by Viterbi, every character takes its tag
 from the window in which it lies furthest from a cut edge, and spans are read off the
@@ -12,7 +12,8 @@ Windows whose best path provably is "all O" (every other tag trails by more than
 transitions can win back) skip Viterbi; the result is the same.
 
 Defined results: a null text is empty and has no spans; doc_id may be null or repeated,
-rows are independent; added spans overlap no base span and hold a digit or ``@``; with no
+rows are independent; added spans overlap no base span and hold ``@``, three dots, or
+enough digits for their kind; with no
 labelled span in the sample only base spans are returned; an empty table gives an empty
 result. Offsets are code points, ends exclusive.
 """
@@ -97,14 +98,19 @@ def spell(spans) -> str:
 HIDDEN = 8
 SYMBOLS = 129  # ASCII, and one for all else
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-WIDTH, MARGIN = 192, 16
-GROUP = 4096  # windows decoded together
+WIDTH, MARGIN = 384, 16
+GROUP = 3072  # windows decoded together
 _NEVER = -1e4
 
 
+#: All digits are one symbol: shapes are learned, not values.
+_SYMBOL = np.arange(SYMBOLS, dtype=np.uint8)
+_SYMBOL[48:58] = 48
+
+
 def symbols(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.minimum(codes, SYMBOLS - 1).astype(np.uint8)
+    return _SYMBOL[np.minimum(codes, SYMBOLS - 1)]
 
 
 def _allowed() -> np.ndarray:
@@ -116,14 +122,14 @@ def _allowed() -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
+    """1 / (1 + exp(x)) in place: the sigmoid of -x."""
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
 class Tagger:
-    """Two LSTMs (rows: gates i, f, o, g), tag scores and transitions."""
+    """Two LSTMs (rows: gates f, o, g; the input gate is 1 - f), tag scores and transitions."""
 
     def __init__(self, params: list[np.ndarray]):
         self.params = [np.ascontiguousarray(p, dtype=np.float32) for p in params]
@@ -134,34 +140,44 @@ class Tagger:
         h = HIDDEN
         out = []
         for _ in range(2):
-            x = rng.normal(0, 0.3, (4 * h, SYMBOLS))
-            x[h : 2 * h] += 1  # remember at first
-            out += [x, rng.normal(0, 0.3, (4 * h, h))]
+            x = rng.normal(0, 0.3, (3 * h, SYMBOLS))
+            x[:h] += 1  # remember at first
+            out += [x, rng.normal(0, 0.3, (3 * h, h))]
         out += [rng.normal(0, 0.3, (TAGS, h)), rng.normal(0, 0.3, (TAGS, h)), np.zeros((TAGS, 1)), np.zeros((TAGS, TAGS))]
         return Tagger(out)
 
     def _run(self, which: int, sym: np.ndarray, active: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Hidden states (T, H, B); ``active[t]`` windows, the longest first, reach step t."""
         x, u = self.params[2 * which], self.params[2 * which + 1]
-        # tanh(z) = 2 sigmoid(2 z) - 1: one pass of exp for all four gates
-        x, u = x.copy(), u.copy()
-        x[3 * HIDDEN :] *= 2
-        u[3 * HIDDEN :] *= 2
+        # tanh(z) = 2 sigmoid(2 z) - 1: one pass of exp for all gates, of negated sums
+        x, u = -x, -u
+        x[2 * HIDDEN :] *= 2
+        u[2 * HIDDEN :] *= 2
         steps, b = sym.shape
         out = np.zeros((steps, HIDDEN, b), dtype=np.float32)
         h, c = np.zeros((HIDDEN, b), dtype=np.float32), np.zeros((HIDDEN, b), dtype=np.float32)
+        room, product, squash = np.empty((3 * HIDDEN, b), np.float32), np.empty((3 * HIDDEN, b), np.float32), np.empty((HIDDEN, b), np.float32)
         for t in range(steps) if which == 0 else range(steps - 1, -1, -1):
             n = active[t]
-            gates = np.take(x, sym[t, :n].astype(np.intp), axis=1, mode="clip")
-            gates += u @ h[:, :n]
+            if n == b and keep is None:
+                gates, add, squashed = room, product, squash
+            else:
+                gates, add, squashed = (np.empty((r, n), np.float32) for r in (3 * HIDDEN, 3 * HIDDEN, HIDDEN))
+            np.take(x, sym[t, :n].astype(np.intp), axis=1, out=gates, mode="clip")
+            np.matmul(u, h[:, :n], out=add)
+            gates += add
             _sigmoid(gates)
-            i, f, o, g = (gates[k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+            f, o, g = gates[:HIDDEN], gates[HIDDEN : 2 * HIDDEN], gates[2 * HIDDEN :]
             g *= 2
             g -= 1
-            before = c[:, :n].copy() if keep is not None else None
-            c[:, :n] *= f
-            c[:, :n] += i * g
-            squashed = _sigmoid(2 * c[:, :n])
+            now = c[:, :n]
+            before = now.copy() if keep is not None else None
+            # c = f c + (1 - f) g
+            now -= g
+            now *= f
+            now += g
+            np.multiply(now, -2, out=squashed)
+            _sigmoid(squashed)
             squashed *= 2
             squashed -= 1
             np.multiply(o, squashed, out=h[:, :n])
@@ -212,24 +228,23 @@ class Tagger:
             grads[4 + k] = np.einsum("tkb,thb->kh", d_em, hidden[k], optimize=True)
             x, u = self.params[2 * k], self.params[2 * k + 1]
             d_out = np.matmul(w.T, d_em)
-            d_gates = np.zeros((steps, 4 * HIDDEN, b), dtype=np.float32)
+            d_gates = np.zeros((steps, 3 * HIDDEN, b), dtype=np.float32)
             d_u = np.zeros_like(u)
             dh = dc = np.zeros((HIDDEN, b), dtype=np.float32)
             for t, gates, before, squashed in reversed(kept[k]):
-                i, f, o, g = (gates[j * HIDDEN : (j + 1) * HIDDEN] for j in range(4))
+                f, o, g = (gates[j * HIDDEN : (j + 1) * HIDDEN] for j in range(3))
                 dh = dh + d_out[t]
                 dc = dc + dh * o * (1 - squashed * squashed)
                 d = d_gates[t]
-                d[:HIDDEN] = dc * g * i * (1 - i)
-                d[HIDDEN : 2 * HIDDEN] = dc * before * f * (1 - f)
-                d[2 * HIDDEN : 3 * HIDDEN] = dh * squashed * o * (1 - o)
-                d[3 * HIDDEN :] = dc * i * (1 - g * g)
+                d[:HIDDEN] = dc * (before - g) * f * (1 - f)
+                d[HIDDEN : 2 * HIDDEN] = dh * squashed * o * (1 - o)
+                d[2 * HIDDEN :] = dc * (1 - f) * (1 - g * g)
                 prior = t - 1 if k == 0 else t + 1
                 if 0 <= prior < steps:
                     d_u += d @ hidden[k][prior].T
                 dh, dc = u.T @ d, dc * f
             flat = sym.ravel()
-            rows = d_gates.transpose(1, 0, 2).reshape(4 * HIDDEN, -1)
+            rows = d_gates.transpose(1, 0, 2).reshape(3 * HIDDEN, -1)
             grads[2 * k] = np.stack([np.bincount(flat, r, SYMBOLS) for r in rows])
             grads[2 * k + 1] = d_u
         return float(loss), grads
@@ -301,7 +316,11 @@ def tag_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(at[a]), int(kind[a]), int(at[b]) + 1) for a, b in zip(lo, hi, strict=True)]
 
 
-def merge(text: str, base: list, found: list, least: int = 6) -> list:
+#: Digits that an added span of each kind has at least.
+_LEAST_DIGITS = (0, 4, 12, 7)
+
+
+def merge(text: str, base: list, found: list) -> list:
     """Base spans and those found ones that overlap none of them and look like data."""
     reach, ends = [], 0
     for _, _, e in base:
@@ -314,7 +333,7 @@ def merge(text: str, base: list, found: list, least: int = 6) -> list:
         if near and reach[near - 1] > s:
             continue
         part = text[s:e]
-        if e - s >= least and (("@" in part) if k == 0 else len(_DIGIT.findall(part)) >= 4):
+        if (k or "@" in part) and (k != 1 or part.count(".") == 3) and len(_DIGIT.findall(part)) >= _LEAST_DIGITS[k]:
             out.append((s, k, e))
     return sorted(out)
 
@@ -322,16 +341,6 @@ def merge(text: str, base: list, found: list, least: int = 6) -> list:
 # --- training -------------------------------------------------------------------------
 
 
-def _vary(text: str, spans: list, rng) -> str:
-    """Other digits in place of a span's digits, so that shapes are learned, not values."""
-    chars = list(text)
-    for s, _, e in spans:
-        for k in range(s, e):
-            if chars[k].isdecimal():
-                chars[k] = str(rng.integers(10))
-    return "".join(chars)
-
-
 def train(examples: list[tuple[str, list]], steps: int = 500, batch: int = 48, width: int = 80, seed: int = 5) -> Tagger | None:
     """Fit on (text, labelled spans); None if there is no span to learn from."""
     rng = np.random.default_rng(seed)
@@ -356,7 +365,7 @@ def train(examples: list[tuple[str, list]], steps: int = 500, batch: int = 48, w
             text, spans = examples[k]
             lo = max(0, min(lo, len(text) - width))
             inside = [(max(s, lo) - lo, c, min(e, lo + width) - lo, s >= lo) for s, c, e in spans if s < lo + width and e > lo]
-            sym[:, col] = symbols(_vary(text[lo : lo + width], [x[:3] for x in inside], rng))
+            sym[:, col] = symbols(text[lo : lo + width])
             for s, c, e, whole in inside:
                 tags[s:e, col] = 2 + 2 * c
                 if whole:
@@ -452,6 +461,15 @@ def find(docs: DataFrame, sample: int = 3000) -> DataFrame:
     return base.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
+def _marked(t: str, spans: list) -> str:
+    parts, at = [], 0
+    for s, k, e in spans:
+        if s >= at:
+            parts += [t[at:s], f"[{KINDS[k].upper()}]"]
+        at = max(at, e)
+    return "".join(parts) + t[at:]
+
+
 def redact(docs: DataFrame, sample: int = 3000) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; n_chars follows.
 
@@ -470,12 +488,12 @@ def redact(docs: DataFrame, sample: int = 3000) -> DataFrame:
             was = batch.column("text").to_pylist()
             texts, lengths = [], batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else None
             for r, (t, _, every) in enumerate(_each_text(batch, tagger)):
-                parts, at = [], 0
-                for s, k, e in every:
-                    if s >= at:
-                        parts += [t[at:s], f"[{KINDS[k].upper()}]"]
-                    at = max(at, e)
-                texts.append(was[r] if not every else "".join(parts) + t[at:])
+                found = every
+                while found:
+                    t = _marked(t, found)
+                    # a mark can part digits that hid a match between them
+                    found = base_spans(t)
+                texts.append(t if every else was[r])
                 if every and lengths is not None:
                     lengths[r] = len(texts[-1])
             for name, values in (("text", texts), ("n_chars", lengths)):
