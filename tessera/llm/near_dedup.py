@@ -8,9 +8,11 @@ Texts with one set of shingles are one node. Each node has a 64-bit SimHash of i
 shingles and ``KEYS`` block keys, each of two min-hashes of the shingles: a pair of
 similarity 0.8 shares no key with probability 0.36 ** 12, under one in 100,000. Within a
 block the bit-sliced comparison of ``simhash`` finds the pairs within ``RADIUS`` bits (no
-pair of similarity 0.8 in test data differs in more than 17). Of those every node keeps
-its nearest neighbour on either side and its first one, never all pairs, and these links
-are verified exactly. A block with more than ``BLOCK`` nodes is dealt into salted parts,
+pair of similarity 0.8 in test data differs in more than 17). In a first
+round every node keeps its nearest neighbour on either side and its first one, and these
+links are verified exactly. In a second round every pair of a block that the first has not
+joined already is verified on the shingles themselves, unless a link found earlier in the
+block has joined it. A block with more than ``BLOCK`` nodes is dealt into salted parts,
 whose members are also linked with the block's smallest node.
 
 Defined results: a null text is empty, and texts without a word are copies of each other;
@@ -32,6 +34,8 @@ from tessera.llm import simhash as S
 KEYS = 12
 RADIUS = 20
 BLOCK = 1024
+#: Shingles of groups that are verified in one go.
+VALUES = 1 << 21
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, size=(2 * KEYS, 2), dtype=np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -68,11 +72,12 @@ def _sketch_rows(size: int):
             for i, j in C.slices(offsets):
                 row, value = shingle_sets(offsets[i : j + 1], raw, size)
                 n = j - i
-                node, fp, keys = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, KEYS), np.uint64)
+                node, fp, keys, size_ = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, KEYS), np.uint64), np.zeros(n, np.int32)
                 has, first = np.unique(row, return_index=True)
                 if len(has):
                     node[has] = C.mix(np.add.reduceat(C.mix(value), first)).view(np.int64)
                     ends = np.append(first[1:], len(row))
+                    size_[has] = ends - first
                     bits = np.unpackbits(value.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                     ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
                     fp[has] = np.packbits(2 * ones > (ends - first)[:, None], axis=1, bitorder="little").view("<u8").ravel().view(np.int64)
@@ -81,8 +86,8 @@ def _sketch_rows(size: int):
                         keys[has, k] = C.mix(least[2 * k] * np.uint64(3) + least[2 * k + 1])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * KEYS), pa.array(keys.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, n), batch.column("row_hash").slice(i, n), pa.array(node), pa.array(fp), lists],
-                    names=["doc_id", "row_hash", "node", "fp", "keys"],
+                    [batch.column("doc_id").slice(i, n), batch.column("row_hash").slice(i, n), pa.array(node), pa.array(fp), pa.array(size_), lists],
+                    names=["doc_id", "row_hash", "node", "fp", "size", "keys"],
                 )
 
     return run
@@ -153,14 +158,122 @@ def _link_rows(radius: int):
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], weigh, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches of whole groups, rows of a group being next to each other, of about ``limit`` weight."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        held.append(batch)
+        total += weigh(batch)
+        if total < limit:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        differs = np.zeros(len(table), dtype=bool)
+        for c in keys:
+            x = table[c].to_numpy()
+            differs |= x != x[-1]
+        last = int(np.flatnonzero(differs).max(initial=-1)) + 1
+        if last:
+            yield table.slice(0, last).combine_chunks().to_batches()[0]
+        held = table.slice(last).combine_chunks().to_batches()
+        total = sum(weigh(b) for b in held)
+    if total:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _bounds(batch: pa.RecordBatch, keys: tuple[str, ...]) -> np.ndarray:
+    """First row of each group, and the end."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    new[0] = True
+    for c in keys:
+        x = batch.column(c).to_numpy(zero_copy_only=False)
+        new[1:] |= x[1:] != x[:-1]
+    return np.append(np.flatnonzero(new), batch.num_rows)
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
+
+
+_GROUP = ("block", "part")
+
+
+def _open_rows(radius: int, similarity: float):
+    """Members that have a pair left to verify."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches, _GROUP, lambda b: b.num_rows, S.LANES):
+            bounds = _bounds(batch, _GROUP)
+            bucket = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            fp, root, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "root", "size"))
+            p, left = S.planes(fp.view(np.uint64)), np.zeros(len(fp), dtype=bool)
+            for shift in range(1, int(np.diff(bounds).max())):
+                same = (bucket[shift:] == bucket[:-shift]) & (root[shift:] != root[:-shift]) & _alike(size[shift:], size[:-shift], similarity)
+                if same.any():
+                    a, _ = S.linked(p, shift, radius, same)
+                    left[a] = left[a + shift] = True
+            yield batch.select(["t", *_GROUP, "node", "root"]).filter(pa.array(left))
+
+    return run
+
+
+def verified(t: int, fp: np.ndarray, root: np.ndarray, keys: np.ndarray, at: np.ndarray, values: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that join just the members with a path of similar pairs, every pair looked at.
+
+    Pairs that share a key before ``t`` belong to that key's block.
+    """
+    root, size = np.unique(root, return_inverse=True)[1], np.diff(at)
+    _, values = np.unique(values, return_inverse=True)
+    marked = np.zeros(int(values.max(initial=-1)) + 1, dtype=bool)
+    found = []
+    for x in range(len(fp) - 1):
+        ys = x + 1 + np.flatnonzero(
+            (root[x + 1 :] != root[x]) & (np.bitwise_count(fp[x + 1 :] ^ fp[x]) <= radius) & _alike(size[x + 1 :], size[x], similarity)
+        )
+        ys = ys[~(keys[ys, :t] == keys[x, :t]).any(axis=1)]
+        if not len(ys):
+            continue
+        own = values[at[x] : at[x + 1]]
+        marked[own] = True
+        ends = np.cumsum(size[ys])
+        index = np.arange(ends[-1]) + np.repeat(at[ys] - (ends - size[ys]), size[ys])
+        both = np.add.reduceat(marked[values[index]], ends - size[ys], dtype=np.int64)
+        marked[own] = False
+        for y in ys[both >= similarity * (size[ys] + size[x] - both) - 1e-9].tolist():
+            if root[y] != root[x]:
+                found.append((x, y))
+                root[root == root[y]] = root[x]
+    return found
+
+
+def _verified_rows(radius: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches, _GROUP, lambda b: len(b.column("shingles").flatten()), VALUES):
+            t, node, root, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "node", "root", "fp"))
+            keys = batch.column("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, KEYS)
+            sizes = batch.column("shingles").value_lengths().to_numpy(zero_copy_only=False)
+            values, at = batch.column("shingles").flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes))
+            bounds = _bounds(batch, _GROUP)
+            links = []
+            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                inner = at[i : j + 1]
+                got = verified(int(t[i]), fp[i:j].view(np.uint64), root[i:j], keys[i:j], inner - inner[0], values[inner[0] : inner[-1]], radius, similarity)
+                links += [(node[i + x], node[i + y]) for x, y in got]
+            u, v = np.array(links, dtype=np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    return run
+
+
 def near_duplicate_roots(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, row_hash, node; roots: node, root of linked nodes)."""
     spark = docs.sparkSession
     C.ship(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_column().alias("text"), F.xxhash64(C.text_column()).alias("row_hash"))
-    rows = C.Stash(base.mapInArrow(_sketch_rows(shingle), "doc_id long, row_hash long, node long, fp long, keys array<long>")).df
-    nodes = rows.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_hash")).alias("rep")).where("node <> 0")
-    each = C.Stash(nodes.select("node", "fp", F.posexplode("keys").alias("t", "key")).select("node", "fp", F.xxhash64("t", "key").alias("block"))).df
+    rows = C.Stash(base.mapInArrow(_sketch_rows(shingle), "doc_id long, row_hash long, node long, fp long, size int, keys array<long>")).df
+    nodes = rows.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_hash")).alias("rep")).where("node <> 0")
+    each = C.Stash(nodes.select("node", "fp", "size", F.posexplode("keys").alias("t", "key")).select("node", "fp", "size", "t", F.xxhash64("t", "key").alias("block"))).df
     blocks = each.groupBy("block").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     met = C.cut(each.join(blocks, "block").withColumn("part", F.pmod(F.xxhash64("node", "block"), F.ceil(F.col("n") / BLOCK))))
     C.release(spark)
@@ -172,19 +285,35 @@ def near_duplicate_roots(docs: DataFrame, similarity: float = 0.8, shingle: int
     C.release(spark)
 
     # exact similarity of the linked nodes' shingle sets
-    wanted = links.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "rep"), "node").select("node", "rep.doc_id", "rep.row_hash")
-    known = base.withColumnRenamed("doc_id", "id").withColumnRenamed("row_hash", "hash")
-    texts = known.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("row_hash"))).select("node", "text")
-    sets = C.Stash(texts.mapInArrow(_set_rows(shingle), "node long, shingles array<int>").groupBy("node").agg(F.any_value("shingles").alias("shingles"))).df
-    C.release(spark)
+    sets = _sets_of(links.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, base, shingle)
     left, right = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    good = links.join(left, "u").join(right, "v").where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v")
-    roots = S.components(C.cut(good))
+    good = C.cut(links.join(left, "u").join(right, "v").where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v"))
+    roots = S.components(good)
+    C.release(spark)
+
+    # every other pair, where the nodes that have one meet
+    rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = rooted.select("t", *_GROUP, "node", "root", "fp", "size").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
+    left_over = C.Stash(grouped.mapInArrow(_open_rows(RADIUS, similarity), "t int, block long, part long, node long, root long")).df
+    C.release(spark)
+    sets = _sets_of(left_over.select("node").distinct(), nodes, base, shingle).join(nodes.select("node", "fp", "keys"), "node")
+    ready = left_over.join(sets, "node").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
+    more = C.cut(ready.mapInArrow(_verified_rows(RADIUS, similarity), "u long, v long"))
+    C.release(spark)
+    roots = S.components(good.unionByName(more.distinct()))
     C.release(spark)
     return rows, roots
 
 
+def _sets_of(wanted: DataFrame, nodes: DataFrame, base: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles of the wanted nodes."""
+    wanted = wanted.join(nodes.select("node", "rep"), "node").select("node", "rep.doc_id", "rep.row_hash")
+    known = base.withColumnRenamed("doc_id", "id").withColumnRenamed("row_hash", "hash")
+    texts = known.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("row_hash"))).select("node", "text")
+    return C.Stash(texts.mapInArrow(_set_rows(shingle), "node long, shingles array<int>").groupBy("node").agg(F.any_value("shingles").alias("shingles"))).df
+
+
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The documents, all columns unchanged, with one left of each group."""
     rows, roots = near_duplicate_roots(docs, similarity, shingle)

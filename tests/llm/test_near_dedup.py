@@ -76,3 +76,26 @@ def test_linked_lanes_and_distances():
     a, d = simhash.linked(p, 1, 6, np.ones(149, dtype=bool))
     want = {i: (int(fps[i]) ^ int(fps[i + 1])).bit_count() for i in range(149)}
     assert dict(zip(a.tolist(), d.tolist(), strict=True)) == {i: x for i, x in want.items() if x <= 6}
+
+
+def templated(pairs, singles=0, shared=9, seed=5):
+    """Texts that share a template (similarity 0.7), in pairs of similarity 0.84."""
+    rng = random.Random(seed)
+    word = iter(rng.sample([f"u{i}" for i in range(100 * (pairs + singles))], 40 * (pairs + singles)))
+    base = [f"t{i}" for i in range(88)]
+    texts = []
+    for _ in range(pairs):
+        same = [next(word) for _ in range(shared)]
+        texts += [[*base, *same, *(next(word) for _ in range(18 - shared))] for _ in range(2)]
+    texts += [[*base, *(next(word) for _ in range(18))] for _ in range(singles)]
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_pairs_of_a_template_are_all_found(spark):
+    rows = templated(200, 50)
+    want = brute_kept(rows)
+    assert len(want) == 250
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((False, r.doc_id) for r in near_dedup.drop_near_duplicates(d).collect())
+    assert got == want
