@@ -12,8 +12,8 @@ pair of similarity 0.8 in test data differs in more than 17). In a first
 round every node keeps its nearest neighbour on either side and its first one, and these
 links are verified exactly. In a second round every pair of a block that the first has not
 joined already is verified on the shingles themselves, unless a link found earlier in the
-block has joined it. A block with more than ``BLOCK`` nodes is dealt into salted parts,
-whose members are also linked with the block's smallest node.
+block has joined it. A block with more than ``BLOCK`` nodes is dealt into salted parts; the
+first round looks within parts, the second at each part against itself and every other.
 
 Defined results: a null text is empty, and texts without a word are copies of each other;
 a null doc_id comes after all others; of repeated rows one stays; all columns are kept.
@@ -200,25 +200,27 @@ _GROUP = ("block", "part")
 
 
 def _open_rows(radius: int, similarity: float):
-    """Members that have a pair left to verify."""
+    """Members that have a pair left to verify; in a group of two parts only pairs across."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches, _GROUP, lambda b: b.num_rows, S.LANES):
             bounds = _bounds(batch, _GROUP)
             bucket = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            fp, root, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "root", "size"))
+            fp, root, size, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "root", "size", "side"))
+            alone = (np.minimum.reduceat(side, bounds[:-1]) == np.maximum.reduceat(side, bounds[:-1]))[bucket]
             p, left = S.planes(fp.view(np.uint64)), np.zeros(len(fp), dtype=bool)
             for shift in range(1, int(np.diff(bounds).max())):
                 same = (bucket[shift:] == bucket[:-shift]) & (root[shift:] != root[:-shift]) & _alike(size[shift:], size[:-shift], similarity)
+                same &= alone[shift:] | (side[shift:] != side[:-shift])
                 if same.any():
                     a, _ = S.linked(p, shift, radius, same)
                     left[a] = left[a + shift] = True
-            yield batch.select(["t", *_GROUP, "node", "root"]).filter(pa.array(left))
+            yield batch.select(["t", *_GROUP, "side", "node", "root"]).filter(pa.array(left))
 
     return run
 
 
-def verified(t: int, fp: np.ndarray, root: np.ndarray, keys: np.ndarray, at: np.ndarray, values: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+def verified(t: int, side: np.ndarray, fp: np.ndarray, root: np.ndarray, keys: np.ndarray, at: np.ndarray, values: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
     """Links that join just the members with a path of similar pairs, every pair looked at.
 
     Pairs that share a key before ``t`` belong to that key's block.
@@ -226,10 +228,11 @@ def verified(t: int, fp: np.ndarray, root: np.ndarray, keys: np.ndarray, at: np.
     root, size = np.unique(root, return_inverse=True)[1], np.diff(at)
     _, values = np.unique(values, return_inverse=True)
     marked = np.zeros(int(values.max(initial=-1)) + 1, dtype=bool)
+    alone = bool((side == side[0]).all())
     found = []
     for x in range(len(fp) - 1):
         ys = x + 1 + np.flatnonzero(
-            (root[x + 1 :] != root[x]) & (np.bitwise_count(fp[x + 1 :] ^ fp[x]) <= radius) & _alike(size[x + 1 :], size[x], similarity)
+            (root[x + 1 :] != root[x]) & (alone | (side[x + 1 :] != side[x])) & (np.bitwise_count(fp[x + 1 :] ^ fp[x]) <= radius) & _alike(size[x + 1 :], size[x], similarity)
         )
         ys = ys[~(keys[ys, :t] == keys[x, :t]).any(axis=1)]
         if not len(ys):
@@ -250,7 +253,7 @@ def verified(t: int, fp: np.ndarray, root: np.ndarray, keys: np.ndarray, at: np.
 def _verified_rows(radius: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches, _GROUP, lambda b: len(b.column("shingles").flatten()), VALUES):
-            t, node, root, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "node", "root", "fp"))
+            t, side, node, root, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "side", "node", "root", "fp"))
             keys = batch.column("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, KEYS)
             sizes = batch.column("shingles").value_lengths().to_numpy(zero_copy_only=False)
             values, at = batch.column("shingles").flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes))
@@ -258,7 +261,7 @@ def _verified_rows(radius: int, similarity: float):
             links = []
             for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 inner = at[i : j + 1]
-                got = verified(int(t[i]), fp[i:j].view(np.uint64), root[i:j], keys[i:j], inner - inner[0], values[inner[0] : inner[-1]], radius, similarity)
+                got = verified(int(t[i]), side[i:j], fp[i:j].view(np.uint64), root[i:j], keys[i:j], inner - inner[0], values[inner[0] : inner[-1]], radius, similarity)
                 links += [(node[i + x], node[i + y]) for x, y in got]
             u, v = np.array(links, dtype=np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
@@ -274,14 +277,13 @@ def near_duplicate_roots(docs: DataFrame, similarity: float = 0.8, shingle: int
     rows = C.Stash(base.mapInArrow(_sketch_rows(shingle), "doc_id long, row_hash long, node long, fp long, size int, keys array<long>")).df
     nodes = rows.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_hash")).alias("rep")).where("node <> 0")
     each = C.Stash(nodes.select("node", "fp", "size", F.posexplode("keys").alias("t", "key")).select("node", "fp", "size", "t", F.xxhash64("t", "key").alias("block"))).df
-    blocks = each.groupBy("block").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    met = C.cut(each.join(blocks, "block").withColumn("part", F.pmod(F.xxhash64("node", "block"), F.ceil(F.col("n") / BLOCK))))
+    blocks = each.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    met = C.cut(each.join(blocks, "block").withColumn("parts", F.ceil(F.col("n") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("node", "block"), "parts")))
     C.release(spark)
     links = (
         met.select("block", "part", "fp", "node").repartition("block", "part").sortWithinPartitions("block", "part", "node").mapInArrow(_link_rows(RADIUS), "u long, v long")
     )
-    hubs = met.where(F.col("n") > BLOCK).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    links = C.cut(links.unionByName(hubs).distinct())
+    links = C.cut(links.distinct())
     C.release(spark)
 
     # exact similarity of the linked nodes' shingle sets
@@ -294,8 +296,10 @@ def near_duplicate_roots(docs: DataFrame, similarity: float = 0.8, shingle: int
 
     # every other pair, where the nodes that have one meet
     rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    grouped = rooted.select("t", *_GROUP, "node", "root", "fp", "size").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
-    left_over = C.Stash(grouped.mapInArrow(_open_rows(RADIUS, similarity), "t int, block long, part long, node long, root long")).df
+    against = rooted.withColumn("side", F.col("part")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    grouped = against.withColumn("part", F.least("side", "other") * F.col("parts") + F.greatest("side", "other"))
+    grouped = grouped.select("t", *_GROUP, "side", "node", "root", "fp", "size").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
+    left_over = C.Stash(grouped.mapInArrow(_open_rows(RADIUS, similarity), "t int, block long, part long, side long, node long, root long")).df
     C.release(spark)
     sets = _sets_of(left_over.select("node").distinct(), nodes, base, shingle).join(nodes.select("node", "fp", "keys"), "node")
     ready = left_over.join(sets, "node").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")

@@ -99,3 +99,13 @@ def test_pairs_of_a_template_are_all_found(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((False, r.doc_id) for r in near_dedup.drop_near_duplicates(d).collect())
     assert got == want
+
+
+def test_pairs_in_two_parts_of_a_block_are_found(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    rows = templated(150, 20, seed=6)
+    want = brute_kept(rows)
+    assert len(want) == 170
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((False, r.doc_id) for r in near_dedup.drop_near_duplicates(d).collect())
+    assert got == want
