@@ -447,6 +447,9 @@ def _cdc_stream(t):
 query("kb_export", "SELECT source, string_agg(doc_id || ': ' || substring(text, 1, 40), chr(10) ORDER BY doc_id) AS listing FROM documents WHERE doc_id % 10 = 0 GROUP BY 1")(
     lambda t: t.documents.where("doc_id % 10 = 0").groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.substring("text", 1, 40).alias("s")))), lambda r: F.concat(r["doc_id"].cast("string"), F.lit(": "), r["s"])), "\n").alias("listing"))
 )
+query("kb_export_all", "SELECT source, doc_id // 100 AS chunk, string_agg(doc_id || ': ' || text, chr(10) ORDER BY doc_id) AS listing FROM documents GROUP BY 1, 2")(
+    lambda t: t.documents.groupBy("source", F.expr("doc_id div 100").alias("chunk")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda r: F.concat(r["doc_id"].cast("string"), F.lit(": "), r["text"])), "\n").alias("listing"))
+)
 query("kb_unverified", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda t: t.documents.select("doc_id").join(t.labels.select("doc_id"), "doc_id", "left_anti"))
 query("kb_verify_checks", "SELECT 'short' AS check_name, count(*) AS n FROM documents WHERE n_chars < 100 UNION ALL SELECT 'no_label', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'no_text', count(*) FROM documents WHERE text IS NULL OR text = '' UNION ALL SELECT 'length_mismatch', count(*) FROM documents WHERE n_chars <> length(text)")(
     lambda t: t.documents.join(t.labels.select("doc_id", F.lit(1).alias("known")).distinct(), "doc_id", "left")
