@@ -358,6 +358,12 @@ def _attention(t):
     return L.attention(t.embeddings.select(c("vec_id").alias("q_id"), c("embedding").cast("array<double>").alias("q")), keys, _dims(t)).select("q_id", "d", F.round("y", 6).alias("y"))
 
 
+@query("attention_all", "WITH k AS (SELECT label, min(vec_id) AS id FROM embeddings GROUP BY 1), ks AS (SELECT vec_id AS k_id, embedding::DOUBLE[] AS k FROM embeddings WHERE vec_id IN (SELECT id FROM k)), s AS (SELECT q.vec_id AS q_id, k, exp(list_dot_product(q.embedding::DOUBLE[], k) / sqrt(len(k))) AS w FROM embeddings q CROSS JOIN ks), l AS (SELECT q_id, generate_subscripts(k, 1) - 1 AS d, unnest(k) AS x, w FROM s) SELECT q_id, CAST(d AS INTEGER) AS d, round(sum(w * x) / sum(w), 6) AS y FROM l GROUP BY 1, 2")
+def _attention_all(t):
+    keys = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("k")).select(c("k").cast("array<double>").alias("k"))
+    return L.attention(t.embeddings.select(c("vec_id").alias("q_id"), c("embedding").cast("array<double>").alias("q")), keys.withColumn("v", c("k")), _dims(t)).select("q_id", "d", F.round("y", 6).alias("y"))
+
+
 # --- text and path search ------------------------------------------------------------------------------
 
 _OCCUR = "CAST(list_sum(list_transform(range(1, length(t) + 1), lambda i: CAST(substr(t, i, {n}) = '{p}' AS BIGINT))) AS BIGINT)"
