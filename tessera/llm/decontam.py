@@ -3,7 +3,8 @@
 Texts are lower-cased (A-Z), cut into words, and into 5-word shingles (fewer words: the
 whole sequence). A document holds an item if some window with as many words as the item
 has weighted shingle similarity (sum of smaller counts over sum of larger counts) of at
-least ``similarity``.
+least ``similarity``. A document with fewer words than the item is one window, verified
+without a fingerprint.
 
 Method: every item, and every item-sized window of a document that can reach an item at
 all (it shares a shingle with it, else the similarity is 0), gets a 64-bit SimHash of its
@@ -143,6 +144,13 @@ class Items:
         size = self.sizes[k]
         width = size - n + 1  # shingles in a window
         bag, best = self.bags[k], None
+        if n_words < size:
+            # the document is its one window
+            if len(places) >= least * width - 1e-9:
+                got = similarity_of(Counter(shingles.tolist()), bag)
+                if got >= least:
+                    yield k, 0, got
+            return
         # every window that holds one of the places, in runs of neighbouring windows
         lo = np.maximum(places - width + 1, 0)
         hi = np.minimum(places, n_words - size)

@@ -92,3 +92,14 @@ def test_window_simhash_is_the_majority_of_bits():
         want = sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in mixed[i : i + 9]) > 9)
         assert int(got[i]) == want
     assert pa is not None
+
+
+def test_document_shorter_than_the_item(spark):
+    item = [f"w{i}" for i in range(40)]
+    texts = {1: item[:-1], 2: item[1:], 3: item[:33], 4: item[:32], 5: item[:4], 6: [*item[:20], "other", *item[21:39]]}
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(item)), (8, "x " * 8 + "y"), (9, "one two three")], "item_id long, text string")
+    want = {i: round(decontam.similarity_of(bag(t), bag(item)), 9) for i, t in texts.items()}
+    got = {r.doc_id: (r.item_id, r.start, round(r.similarity, 9)) for r in decontam.contaminated(d, b).collect()}
+    assert got == {i: (7, 0, s) for i, s in want.items() if s >= 0.8} and {1, 2, 3} == set(got)
+    assert sorted(r.doc_id for r in decontam.decontaminate(d, b).collect()) == [4, 5, 6]
