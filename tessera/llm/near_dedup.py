@@ -7,8 +7,10 @@ the one with the smallest doc_id.
 Texts with one set of shingles are one node. Each node has a 64-bit SimHash of its
 shingles and ``KEYS`` block keys, each of two min-hashes of the shingles: a pair of
 similarity 0.8 shares no key with probability 0.36 ** 12, under one in 100,000. Within a
-block the bit-sliced comparison of ``simhash`` finds the pairs within ``RADIUS`` bits (no
-pair of similarity 0.8 in test data differs in more than 17). In a first
+block the bit-sliced comparison of ``simhash`` finds the pairs within ``RADIUS`` bits. A bit
+of a pair of similarity 0.8 differs with probability 0.1875 at most, for 4 of 5 shingles
+(0.1514 for long texts); more than 27 of 64 do with probability under 3.9e-6, less than the
+keys lose, so very short texts need no path of their own. In a first
 round every node keeps its nearest neighbour on either side and its first one, and these
 links are verified exactly. In a second round every pair of a block that the first has not
 joined already is verified on the shingles themselves, unless a link found earlier in the
@@ -32,7 +34,7 @@ from tessera.llm import common as C
 from tessera.llm import simhash as S
 
 KEYS = 12
-RADIUS = 20
+RADIUS = 27
 BLOCK = 1024
 #: Shingles of groups that are verified in one go.
 VALUES = 1 << 21

@@ -1,5 +1,6 @@
 """The pipeline's near-dedup against brute force on shingle sets."""
 
+import math
 import random
 import re
 
@@ -109,3 +110,19 @@ def test_pairs_in_two_parts_of_a_block_are_found(spark, monkeypatch):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((False, r.doc_id) for r in near_dedup.drop_near_duplicates(d).collect())
     assert got == want
+
+
+def test_radius_loses_no_more_than_the_keys():
+    """Pairs of similarity 0.8, from every split of few shingles: the binomial tail beyond RADIUS."""
+
+    def differs(both, x, y):
+        p = 0.0
+        for c in range(both + 1):
+            a = sum(math.comb(x, k) for k in range(x + 1) if 2 * (c + k) > both + x) / 2**x
+            b = sum(math.comb(y, k) for k in range(y + 1) if 2 * (c + k) > both + y) / 2**y
+            p += math.comb(both, c) / 2**both * (a * (1 - b) + (1 - a) * b)
+        return p
+
+    p = max(differs(n, x, y) for n in range(1, 60) for x in range(15) for y in range(x, 15) if n >= 0.8 * (n + x + y))
+    beyond = sum(math.comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(near_dedup.RADIUS + 1, 65))
+    assert p == 0.1875 and beyond < 0.36**near_dedup.KEYS
