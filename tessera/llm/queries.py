@@ -10,7 +10,7 @@ QUERIES = {
     "op2_substring_dedup": lambda spark, d: substring.dedup_substrings(table(spark, d, "documents")),
     "op3_quality_rules": lambda spark, d: quality.judge(table(spark, d, "documents")),
     "op4_url_filter": lambda spark, d: urlfilter.judge(table(spark, d, "pages")),
-    "op5_token_ids": lambda spark, d: token_io.round_trip(table(spark, d, "documents")),
+    "op5_token_ids": lambda spark, d: token_io.round_trip(table(spark, d, "documents"), added_tokens=True),
     "op6_pii": lambda spark, d: pii.find(table(spark, d, "documents")),
     "op7_decontamination": lambda spark, d: decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op8_simhash_near_dedup": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),

@@ -23,6 +23,7 @@ ids are ordered by a hash of their texts; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -54,21 +55,25 @@ class Encoder:
     """The tokenizers library behind a memory of pieces.
 
     The library splits a text by a fixed pattern before it merges, and merges never cross
-    a split; so each piece is handed to the library once and remembered.
+    a split; so each piece is handed to the library once and remembered. With
+    ``added_tokens`` the file's added tokens are ids where they stand in a text, and such a
+    text is handed over whole; without, they are spelt as ordinary pieces.
     """
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, added_tokens: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         import re
 
         # the same pattern for texts of ASCII and Latin letters only, where the classes agree
         self._fast = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
         self._odd = re.compile("[^\x00-\x1b\x20-\x7fÀ-ɏ]").search
+        added = [re.escape(t["content"]) for t in json.loads(model).get("added_tokens", [])] if added_tokens else []
+        self._whole = re.compile("|".join(added)).search if added else None
         self._known: dict[str, bytes] = {}
 
     def _fresh(self, piece: str) -> bytes:
@@ -82,19 +87,21 @@ class Encoder:
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
+        if self._whole and self._whole(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         pieces = (self._split if self._odd(text) else self._fast)(text)
         get, fresh = self._known.get, self._fresh
         return b"".join([get(p) or fresh(p) for p in pieces])
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[tuple[int, bool], Encoder] = {}
 
 
-def encoder(model: str) -> Encoder:
-    """One for each worker and tokenizer file."""
-    key = zlib.crc32(model.encode())
+def encoder(model: str, added_tokens: bool = False) -> Encoder:
+    """One for each worker, tokenizer file and reading of its added tokens."""
+    key = zlib.crc32(model.encode()), added_tokens
     if key not in _encoders:
-        _encoders[key] = Encoder(model)
+        _encoders[key] = Encoder(model, added_tokens)
     return _encoders[key]
 
 
@@ -358,9 +365,9 @@ _Decoder.peek_each = _peek_each
 _FILE = "shard int, block int, n_ids int, crc32 long, payload binary, doc_ids array<long>, doc_sizes array<int>"
 
 
-def _write_rows(model, end: int):
+def _write_rows(model, end: int, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard = encoder(model.value), TaskContext.get().partitionId()
+        enc, shard = encoder(model.value, added_tokens), TaskContext.get().partitionId()
         tail = np.array([end], dtype="<u4").tobytes()
         held, size, number = [], 0, 0
         docs: list[tuple[int, int | None, int]] = []  # (first id in the held ones, doc_id, ids)
@@ -444,7 +451,7 @@ def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield group(held)
 
 
-def write_tokens(docs: DataFrame, path: str, model_path: str | None = None, end: int = END) -> None:
+def write_tokens(docs: DataFrame, path: str, model_path: str | None = None, end: int = END, added_tokens: bool = False) -> None:
     """Write the ids of all documents, ascending by doc_id, to a directory."""
     spark = docs.sparkSession
     C.ship(spark)
@@ -456,7 +463,7 @@ def write_tokens(docs: DataFrame, path: str, model_path: str | None = None, end:
         model = spark.sparkContext.broadcast(f.read())  # the tokenizer file, 2 MB
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_column().alias("text"), F.xxhash64(C.text_column()).alias("tie"))
     ordered = base.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    ordered.mapInArrow(_write_rows(model, end), _FILE).write.parquet(path)
+    ordered.mapInArrow(_write_rows(model, end, added_tokens), _FILE).write.parquet(path)
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -470,12 +477,12 @@ def read_tokens(files: DataFrame) -> DataFrame:
     return found.join(offsets, "shard").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, model_path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str | None = None, added_tokens: bool = False) -> DataFrame:
     """Write all ids, then read the files back: doc_id, start, n_tokens, ids_crc32."""
     import uuid
 
     spark = docs.sparkSession
     path = f"{C.shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path, model_path)
+    write_tokens(docs, path, model_path, added_tokens=added_tokens)
     C.release(spark)
     return read_tokens(spark.read.schema(_FILE).parquet(path))

@@ -73,3 +73,25 @@ def test_query(spark, monkeypatch):
     ids = [r.doc_id for r in got]
     assert ids == sorted(ids, key=lambda x: (x is not None, x))
     assert token_io.round_trip(d.limit(0)).count() == 0
+
+
+def test_added_tokens_equal_the_unmodified_library(spark):
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        enc = token_io.Encoder(f.read(), added_tokens=True)
+    texts = [*corpus(), "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x  <|endoftext", " é<|endoftext|>\n\n日"]
+    for t in texts:
+        assert np.frombuffer(enc.encode_bytes(t), dtype="<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t[:80]
+    assert np.frombuffer(enc.encode_bytes("a <|endoftext|> b"), dtype="<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_registered_query_keeps_added_tokens(spark, tmp_path):
+    from tessera.llm.queries import QUERIES
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["plain", "a <|endoftext|> b", "after it"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in QUERIES["op5_token_ids"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*lib.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
