@@ -8,9 +8,9 @@ without a fingerprint.
 
 Method: every item, and every item-sized window of a document that can reach an item at
 all (it shares a shingle with it, else the similarity is 0), gets a 64-bit SimHash of its
-shingles. Fingerprints meet in multi-index Hamming blocks: cut into ``radius + 1`` parts,
-two fingerprints within the radius agree in one part at least, so looking up each part
-finds all of them. Candidates are verified by exact weighted-shingle similarity.
+shingles. The lookup of shared shingles finds the candidates; multi-index Hamming blocks
+(``radius + 1`` parts, of which two fingerprints within the radius share one) drop those
+beyond the radius, and the rest are verified by exact weighted-shingle similarity.
 
 Items are read in blocks of bounded size (``BLOCK`` bytes of text), so a benchmark of any
 size is one stated query set against all rows; documents are scanned without a shuffle.
