@@ -8,8 +8,10 @@ overlapping windows, each window is decoded by Viterbi, every character takes it
 from the window in which it lies furthest from a cut edge, and spans are read off the
 joined tags of the whole text.
 
-Windows whose best path provably is "all O" (every other tag trails by more than any
-transitions can win back) skip Viterbi; the result is the same.
+Windows that hold neither a digit nor ``@`` are not run, unless a span reaches them from a
+neighbour, as no added span is without either; windows whose best path provably is "all O"
+(every other tag trails by more than any transitions can win back) skip Viterbi. The result
+is the same as without either saving.
 
 Defined results: a null text is empty and has no spans; doc_id may be null or repeated,
 rows are independent; added spans overlap no base span and hold ``@``, three dots, or
@@ -275,8 +277,13 @@ class Tagger:
             now = np.where(live & (t > 0), back[t, now, col], now)
         return tags
 
-    def tag(self, texts: list[np.ndarray]) -> list[np.ndarray]:
-        """A tag for each character of each text, windows reconciled."""
+    def tag(self, texts: list[np.ndarray], every: bool = False) -> list[np.ndarray]:
+        """A tag for each character of each text, windows reconciled.
+
+        Spans without a digit or ``@`` are never added (see ``merge``), so windows without
+        either are left at O, unless a span of a neighbouring window runs up to their
+        edge: all spans that can be added are the same as with ``every`` window run.
+        """
         stride = WIDTH - 2 * MARGIN
         size = np.array([len(t) for t in texts], dtype=np.int64)
         flat = np.concatenate([*texts, np.zeros(WIDTH, np.uint8)])
@@ -287,20 +294,38 @@ class Tagger:
         start = number * stride
         length = np.minimum(WIDTH, size[doc] - start)
         first, last = number == 0, number == n_windows[doc] - 1
+        at = base[doc] + start
+        # each window owns its middle; cut edges belong to the neighbours
+        lo, hi = at + np.where(first, 0, MARGIN), at + np.where(last, length, WIDTH - MARGIN)
         out = np.zeros(int(base[-1]), dtype=np.uint8)
+        marked = np.zeros(len(flat) + 1, dtype=np.int64)
+        np.cumsum((flat == 48) | (flat == 64), out=marked[1:])
+        todo = np.ones(len(doc), dtype=bool) if every else marked[at + length] > marked[at]
+        done = np.zeros(len(doc), dtype=bool)
+        while todo.any():
+            w = np.flatnonzero(todo)
+            self._tag_windows(flat, at[w], length[w], lo[w], hi[w], out)
+            done |= todo
+            # spans that reach the edge of a window may go on in the next
+            left, right = w[~first[w] & (out[lo[w]] > 0)] - 1, w[~last[w] & (out[hi[w] - 1] > 0)] + 1
+            todo[:] = False
+            todo[left] = todo[right] = True
+            todo &= ~done
+        return [out[base[r] : base[r + 1]] for r in range(len(texts))]
+
+    def _tag_windows(self, flat: np.ndarray, at: np.ndarray, length: np.ndarray, lo: np.ndarray, hi: np.ndarray, out: np.ndarray) -> None:
+        """Decode the windows at ``at`` and write the tags of the places they own."""
         order = np.argsort(-length, kind="stable")
         for k in range(0, len(order), GROUP):
             w = order[k : k + GROUP]
             steps = int(length[w[0]])
             active = np.searchsorted(-length[w], -np.arange(steps), side="left")
-            at = base[doc[w]] + start[w]
-            sym = flat[at[None, :] + np.arange(steps)[:, None]]
+            sym = flat[at[w][None, :] + np.arange(steps)[:, None]]
             tags = self.decode(self.emissions(sym, active), length[w])
             t, col = np.nonzero(tags)
-            # the middle of a window is its own; cut edges belong to the neighbours
-            own = ((t >= MARGIN) | first[w][col]) & ((t < WIDTH - MARGIN) | last[w][col])
-            out[at[col[own]] + t[own]] = tags[t[own], col[own]]
-        return [out[base[r] : base[r + 1]] for r in range(len(texts))]
+            place = at[w[col]] + t
+            own = (place >= lo[w[col]]) & (place < hi[w[col]])
+            out[place[own]] = tags[t[own], col[own]]
 
 
 def tag_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
@@ -386,15 +411,18 @@ def train(examples: list[tuple[str, list]], steps: int = 500, batch: int = 48, w
     return model
 
 
-def fit(docs: DataFrame, sample: int = 3000) -> Tagger | None:
-    """Train on the ``sample`` documents with the smallest hashed ids (a documented bound)."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_column().alias("text"))
-    ids = base.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def fit(docs: DataFrame, sample: int = 3000, excerpts: int = 20) -> Tagger | None:
+    """Train on the ``sample`` documents with the smallest hashed ids, on ``excerpts`` places
+    of each at most (documented bounds). Repeated rows count once."""
+    C.ship(docs.sparkSession)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_column().alias("text")).where("doc_id is not null").withColumn("hash", F.xxhash64("text"))
+    picked = base.select("doc_id", "hash").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "hash").limit(sample)
     rows = (
-        base.join(F.broadcast(ids), "doc_id")  # at most ``sample`` ids
-        .mapInArrow(_example_rows, "doc_id long, lo long, text string, spans string")
+        base.join(F.broadcast(picked), ["doc_id", "hash"])  # at most ``sample`` pairs
+        .dropDuplicates(["doc_id", "hash"])
+        .mapInArrow(_example_rows(excerpts), "doc_id long, hash long, lo long, text string, spans string")
         .toArrow()
-        .sort_by([("doc_id", "ascending"), ("lo", "ascending")])
+        .sort_by([("doc_id", "ascending"), ("hash", "ascending"), ("lo", "ascending")])
     )
     examples = []
     for text, spans in zip(rows["text"].to_pylist(), rows["spans"].to_pylist(), strict=True):
@@ -403,20 +431,23 @@ def fit(docs: DataFrame, sample: int = 3000) -> Tagger | None:
     return train(examples)
 
 
-def _example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _example_rows(excerpts: int):
     """Excerpts of 400 characters around labelled spans, and the first of each document."""
-    for batch in batches:
-        out: dict = {"doc_id": [], "lo": [], "text": [], "spans": []}
-        for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            spans = base_spans(t)
-            for part in sorted({0, *(s // 320 for s, _, _ in spans)})[:20]:
-                lo, hi = max(0, part * 320 - 40), part * 320 + 360
-                inside = [(s - lo, k, e - lo) for s, k, e in spans if s >= lo and e <= hi]
-                out["doc_id"].append(d)
-                out["lo"].append(lo)
-                out["text"].append(t[lo:hi])
-                out["spans"].append(spell(inside))
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("lo", pa.int64()), ("text", pa.string()), ("spans", pa.string())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("lo", pa.int64()), ("text", pa.string()), ("spans", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict = {name: [] for name in schema.names}
+            for d, h, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "hash", "text")), strict=True):
+                spans = base_spans(t)
+                for part in sorted({0, *(s // 320 for s, _, _ in spans)})[:excerpts]:
+                    lo, hi = max(0, part * 320 - 40), part * 320 + 360
+                    inside = [(s - lo, k, e - lo) for s, k, e in spans if s >= lo and e <= hi]
+                    for name, value in zip(schema.names, (d, h, lo, t[lo:hi], spell(inside)), strict=True):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema)
+
+    return run
 
 
 def find_spans(texts: list[str], model: Tagger | None) -> list[tuple[list, list]]:

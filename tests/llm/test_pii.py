@@ -134,3 +134,27 @@ def test_tagger_learns_and_windows_agree():
     one = model.tag([pii.symbols(long_text)])[0]
     two = model.tag([pii.symbols("short"), pii.symbols(long_text), pii.symbols("")])[1]
     assert (one == two).mean() > 0.999
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_without_digits_change_nothing(seed):
+    """An untrained tagger marks long runs everywhere; the merged spans must not differ."""
+    rng = random.Random(seed)
+    model = pii.Tagger.fresh(seed)
+    model.params[6][1:] += 0.6
+    words = ["and", "the", "station", "x@y", "10.0.0.1", "555 0100 123456789", "été"]
+    weights = [30, 30, 30, 1, 1, 1, 30]
+    texts = [" ".join(rng.choices(words, weights, k=rng.randrange(0, 900))) for _ in range(25)] + ["", "a" * 5000, "7" * 3000, "a" * 2000 + "5" * 20 + "a" * 2000]
+    coded = [pii.symbols(t) for t in texts]
+    for t, some, every in zip(texts, model.tag(coded), model.tag(coded, every=True), strict=True):
+        base = pii.base_spans(t)
+        assert pii.merge(t, base, pii.tag_spans(some)) == pii.merge(t, base, pii.tag_spans(every))
+    assert any(t.any() for t in model.tag(coded))
+
+
+def test_training_rows_are_bounded_and_alone(spark):
+    """Repeated ids and rows do not widen the sample, and fit ships its own code."""
+    rows = [(1, f"mail a{i}@b.example now " * 30) for i in range(40)] + [(2, "no data " * 20)] * 30
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.fit(d, sample=5, excerpts=3) is not None
+    assert pii.fit(d.limit(0)) is None
