@@ -3,14 +3,19 @@
 Texts are lower-cased (A-Z), cut into words, and into 5-word shingles (fewer words: the
 whole sequence). A document holds an item if some window with as many words as the item
 has weighted shingle similarity (sum of smaller counts over sum of larger counts) of at
-least ``similarity``. A document with fewer words than the item is one window, verified
-without a fingerprint.
+least ``similarity``. A document with fewer words than the item is one window.
 
-Method: every item, and every item-sized window of a document that can reach an item at
-all (it shares a shingle with it, else the similarity is 0), gets a 64-bit SimHash of its
-shingles. The lookup of shared shingles finds the candidates; multi-index Hamming blocks
-(``radius + 1`` parts, of which two fingerprints within the radius share one) drop those
-beyond the radius, and the rest are verified by exact weighted-shingle similarity.
+Method: every item gets a 64-bit SimHash of its shingles, and so does every item-sized
+window of a document, unless too few of its shingles belong to any item of that size for
+the similarity to be reached. For each size of items a multi-index of Hamming blocks
+(``radius + 1`` parts, of which two fingerprints within the radius share one) yields the
+candidate items of a window's fingerprint among all items of the size; those within the
+radius are verified by exact weighted-shingle similarity.
+
+The radius follows from the size: a bit of a pair of the least similarity differs with a
+probability that is largest for few shingles (``bit_differs``), and the radius leaves out
+under one pair in a million (``radius_for``): 29 bits for items of five shingles, 26 for
+most others; items that repeat a shingle, whose votes have weights, take 38.
 
 Items are read in blocks of bounded size (``BLOCK`` bytes of text), so a benchmark of any
 size is one stated query set against all rows; documents are scanned without a shuffle.
@@ -22,8 +27,10 @@ the result where their texts differ; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +40,16 @@ from pyspark.sql import functions as F
 from tessera.llm import common as C
 
 SHINGLE = 5
-RADIUS = 20
+#: Share of true pairs that a radius may leave out.
+MISS = 1e-6
+#: Probability that a bit differs where shingles repeat and votes have weights (at most).
+WEIGHTED = 0.3
 #: Bytes of benchmark text held by a worker at once.
 BLOCK = 16_000_000
+#: Windows fingerprinted in one go.
+RUN = 4096
+#: (window, item) candidates looked at in one go.
+PAIRS = 1 << 22
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -75,107 +89,164 @@ def similarity_of(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
+@lru_cache(maxsize=None)
+def bit_differs(width: int, least: float) -> float:
+    """Largest probability that a SimHash bit differs between an item of ``width`` shingles and
+    a window of as many or fewer, of at least this similarity (shingles' bits are fair coins)."""
+    worst = 0.0
+    for both in range(math.ceil(least * width - 1e-9), width + 1):
+        own = width - both
+        for other in range(own + 1):
+            if both < least * (both + own + other) - 1e-9:
+                break
+            p = 0.0
+            for c in range(both + 1):
+                a, b = (sum(math.comb(n, k) for k in range(n + 1) if 2 * (c + k) > both + n) / 2**n for n in (own, other))
+                p += math.comb(both, c) / 2**both * (a * (1 - b) + (1 - a) * b)
+            worst = max(worst, p)
+    return worst
+
+
+def angle_differs(least: float) -> float:
+    """The limit for many shingles, by the angle of the two sums of votes, rounded up."""
+    return math.acos(2 * least / (1 + least)) / math.pi + 0.01
+
+
+@lru_cache(maxsize=None)
+def radius_for(width: int, least: float, weighted: bool) -> int:
+    """The radius that leaves out a share of ``MISS`` of the pairs at most."""
+    p, beyond, r = WEIGHTED if weighted else max(bit_differs(min(width, 60), least), angle_differs(least)), 1.0, -1
+    while beyond > MISS and r < 64:
+        r += 1
+        beyond -= math.comb(64, r) * p**r * (1 - p) ** (64 - r)
+    return r
+
+
 class HammingIndex:
     """Fingerprints in blocks by each of radius + 1 parts of their bits."""
 
-    def __init__(self, prints: np.ndarray, radius: int = RADIUS):
-        self.prints, self.radius = [int(p) for p in prints], radius
-        edges = np.linspace(0, 64, radius + 2).astype(int)
-        self.parts = [(int(a), (1 << int(b - a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        self.blocks: list[dict[int, set[int]]] = []
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius = prints.astype(np.uint64), radius
+        edges = np.linspace(0, 64, min(radius + 1, 64) + 1).astype(int)
+        self.parts = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        #: for each part the members in order of their bits there, and these bits
+        self.blocks = []
         for shift, mask in self.parts:
-            block = defaultdict(set)
-            for k, p in enumerate(self.prints):
-                block[p >> shift & mask].add(k)
-            self.blocks.append(dict(block))
+            bits = self.prints >> shift & mask
+            order = np.argsort(bits, kind="stable")
+            self.blocks.append((order, bits[order]))
+
+    def candidates(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, member) pairs that share a block, once each."""
+        keys = []
+        for (shift, mask), (order, bits) in zip(self.parts, self.blocks, strict=True):
+            wanted = queries >> shift & mask
+            lo, hi = np.searchsorted(bits, wanted), np.searchsorted(bits, wanted, side="right")
+            n = hi - lo
+            query = np.repeat(np.arange(len(queries)), n)
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            keys.append(query * len(self.prints) + order[place])
+        key = np.unique(np.concatenate(keys))
+        return key // len(self.prints), key % len(self.prints)
 
     def near(self, fingerprint: int, among: set[int]) -> list[int]:
-        """Members of ``among`` within the radius."""
-        left, out = set(among), []
-        for block, (shift, mask) in zip(self.blocks, self.parts, strict=True):
-            met = left & block.get(fingerprint >> shift & mask, frozenset())
-            out += [k for k in met if (self.prints[k] ^ fingerprint).bit_count() <= self.radius]
-            left -= met
-            if not left:
-                break
-        return out
+        """Members of ``among`` within the radius of one fingerprint."""
+        found = [k for _, members in self.within(np.array([fingerprint], dtype=np.uint64)) for k in members.tolist()]
+        return [k for k in found if k in among]
+
+    def within(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, member) pairs within the radius, in parts of bounded size."""
+        step = max(1, PAIRS // max(len(self.prints) * len(self.parts), 1))
+        for lo in range(0, len(queries), step):
+            q, k = self.candidates(queries[lo : lo + step])
+            ok = np.bitwise_count(queries[lo + q] ^ self.prints[k]) <= self.radius
+            yield lo + q[ok], k[ok]
 
 
 class Items:
     """A block of benchmark items, ready to be searched for."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], least: float):
         offsets, raw = C.string_buffers(pa.array(texts, pa.large_string()))
         w = C.Words(offsets, _lowered(raw))
         hashes = w.hashes()
-        self.ids, self.sizes, self.bags, prints = [], [], [], []
-        owners = defaultdict(set)
+        self.ids, self.bags, self.least = [], [], least
+        prints, by_size, sizes = [], defaultdict(list), defaultdict(set)
         for k in range(len(texts)):
             words = hashes[w.first[k] : w.first[k + 1]]
             if not len(words):
                 continue
             s = _shingles(words)
             for h in s.tolist():
-                owners[h].add(len(self.ids))
+                sizes[h].add(len(words))
+            by_size[len(words)].append(len(self.ids))
             self.ids.append(ids[k])
-            self.sizes.append(len(words))
             self.bags.append(Counter(s.tolist()))
             prints.append(simhashes(s, len(s))[0])
-        self.index = HammingIndex(np.array(prints, dtype=np.uint64))
+        #: sizes in words of the items that have a shingle
+        self.sizes = {h: sorted(found) for h, found in sizes.items()}
         # shingles of a short item are its whole text: they are found by their own size
-        self.lengths = sorted({min(SHINGLE, n) for n in self.sizes})
-        self.known = {n: np.unique(np.array([h for h, own in owners.items() if any(min(SHINGLE, self.sizes[k]) == n for k in own)], dtype=np.uint64)) for n in self.lengths}
-        self.owners = dict(owners)
-
-    def search(self, w: C.Words, hashes: np.ndarray, row: int, hits: dict[int, np.ndarray], least: float) -> Iterator[tuple[int, int, float]]:
+        self.known = {n: np.sort(np.array([h for h, found in self.sizes.items() if any(min(SHINGLE, m) == n for m in found)], dtype=np.uint64)) for n in sorted({min(SHINGLE, m) for m in by_size})}
+        #: for each size its items and the index of their fingerprints
+        self.index = {}
+        for m, members in by_size.items():
+            weighted = any(max(self.bags[k].values()) > 1 for k in members)
+            index = HammingIndex(np.array([prints[k] for k in members], dtype=np.uint64), radius_for(m - min(SHINGLE, m) + 1, least, weighted))
+            self.index[m] = (members, index)
+
+    def search(self, w: C.Words, hashes: np.ndarray, row: int, hits: dict[int, np.ndarray]) -> Iterator[tuple[int, int, float]]:
         """(item, first word of the best window, similarity) in one document."""
         words = hashes[w.first[row] : w.first[row + 1]]
         for n, at in hits.items():
             shingles = C.window_hashes(words, n)
             spots = defaultdict(list)
             for p in at.tolist():
-                for k in self.owners[int(shingles[p])]:
-                    if min(SHINGLE, self.sizes[k]) == n:
-                        spots[k].append(p)
-            for k, places in spots.items():
-                yield from self._search_one(k, np.array(places), shingles, len(words), n, least)
-
-    def _search_one(self, k: int, places: np.ndarray, shingles: np.ndarray, n_words: int, n: int, least: float):
-        size = self.sizes[k]
-        width = size - n + 1  # shingles in a window
-        bag, best = self.bags[k], None
-        if n_words < size:
-            # the document is its one window
-            if len(places) >= least * width - 1e-9:
-                got = similarity_of(Counter(shingles.tolist()), bag)
-                if got >= least:
-                    yield k, 0, got
+                for m in self.sizes[int(shingles[p])]:
+                    if min(SHINGLE, m) == n:
+                        spots[m].append(p)
+            for m, places in spots.items():
+                yield from self._search_size(m, np.array(places), shingles, len(words), n)
+
+    def _search_size(self, m: int, places: np.ndarray, shingles: np.ndarray, n_words: int, n: int) -> Iterator[tuple[int, int, float]]:
+        """Items of ``m`` words; ``places`` are the shingles that any of them has."""
+        members, index = self.index[m]
+        item_width = m - n + 1
+        width = min(item_width, n_words - n + 1)  # a shorter document is its one window
+        # similarity s of bags of these sizes takes so many common shingles
+        need = max(1, math.ceil(self.least * (width + item_width) / (1 + self.least) - 1e-9))
+        if len(places) < need:
             return
-        # every window that holds one of the places, in runs of neighbouring windows
-        lo = np.maximum(places - width + 1, 0)
-        hi = np.minimum(places, n_words - size)
-        begin = 0
-        while begin < len(lo):
-            end = begin
-            while end + 1 < len(lo) and lo[end + 1] <= hi[end] + 1:
-                end += 1
-            a, b = int(lo[begin]), int(hi[end])
-            # a window of similarity s shares at least s of the item's shingles
-            if a <= b and end - begin + 1 >= least * width - 1e-9:
-                starts = np.arange(a, b + 1)
-                run = places[begin : end + 1]
-                shared = np.searchsorted(run, starts + width) - np.searchsorted(run, starts)
-                starts = starts[shared >= least * width - 1e-9]
-                if len(starts):
-                    prints = simhashes(shingles[a : b + width], width)
-                    for s in starts.tolist():
-                        if self.index.near(int(prints[s - a]), {k}):
-                            got = similarity_of(Counter(shingles[s : s + width].tolist()), bag)
-                            if got >= least and (best is None or got > best[2]):
-                                best = (k, s, got)
-            begin = end + 1
-        if best:
-            yield best
+        lo = np.maximum(places[need - 1 :] - width + 1, 0)
+        hi = np.minimum(places[: len(places) - need + 1], len(shingles) - width)
+        best: dict[int, tuple[float, int]] = {}
+        for a, b in _runs(lo, hi):
+            starts, queries = np.arange(a, b), simhashes(shingles[a : b + width - 1], width)
+            for q, k in index.within(queries):
+                for at, item in zip(starts[q].tolist(), k.tolist(), strict=True):
+                    got = similarity_of(Counter(shingles[at : at + width].tolist()), self.bags[members[item]])
+                    if got >= self.least and (item not in best or got > best[item][0]):
+                        best[item] = (got, at)
+        for item, (got, at) in best.items():
+            yield members[item], at, got
+
+
+def _runs(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The union of the intervals [lo, hi] (both ascending) in pieces of at most RUN starts."""
+    a = b = 0
+    for x, y in zip(lo.tolist(), (hi + 1).tolist(), strict=True):
+        x = max(x, b)
+        if x >= y:
+            continue
+        if x > b or y - a > RUN:
+            if b > a:
+                yield a, b
+            a = x
+        b = y
+        while b - a > RUN:
+            yield a, a + RUN
+            a += RUN
+    if b > a:
+        yield a, b
 
 
 def _hits(items: Items, w: C.Words, hashes: np.ndarray) -> dict[int, dict[int, np.ndarray]]:
@@ -194,7 +265,7 @@ def _hits(items: Items, w: C.Words, hashes: np.ndarray) -> dict[int, dict[int, n
     return found
 
 
-def _matches(batch: pa.RecordBatch, items: Items, least: float) -> Iterator[tuple[int, int, int, float]]:
+def _matches(batch: pa.RecordBatch, items: Items) -> Iterator[tuple[int, int, int, float]]:
     """(row of the batch, item, start, similarity)."""
     offsets, raw = C.string_buffers(batch.column("text"))
     for i, j in C.slices(offsets):
@@ -202,11 +273,11 @@ def _matches(batch: pa.RecordBatch, items: Items, least: float) -> Iterator[tupl
         part.data = _lowered(part.data)
         hashes = part.hashes()
         for row, hits in _hits(items, part, hashes).items():
-            for k, start, got in items.search(part, hashes, row, hits, least):
+            for k, start, got in items.search(part, hashes, row, hits):
                 yield i + row, k, start, got
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, limit: int, least: float) -> Iterator[Items]:
     """The items in blocks of about ``limit`` bytes; only one block is on the driver at a time."""
     base = benchmark.select("item_id", C.text_column().alias("text")).where("text <> ''").dropDuplicates(["item_id", "text"])
     size = base.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
@@ -214,7 +285,7 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[Items]:
     for k in range(n):
         part = base if n == 1 else base.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
         rows = part.toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        yield Items(rows["item_id"].to_pylist(), rows["text"].to_pylist())
+        yield Items(rows["item_id"].to_pylist(), rows["text"].to_pylist(), least)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
@@ -225,12 +296,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_column().alias("text"))
     schema = "doc_id long, item_id long, start long, similarity double"
     out = spark.createDataFrame([], schema)
-    for items in _blocks(benchmark, block):
+    for items in _blocks(benchmark, block, similarity):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = list(_matches(batch, shared.value, similarity))
+                found = list(_matches(batch, shared.value))
                 rows = pa.array([f[0] for f in found], pa.int64())
                 ids = [shared.value.ids[f[1]] for f in found]
                 yield pa.RecordBatch.from_arrays(
@@ -247,13 +318,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     spark = docs.sparkSession
     C.ship(spark)
     schema = docs.schema
-    for items in _blocks(benchmark, block):
+    for items in _blocks(benchmark, block, similarity):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 stays = np.ones(batch.num_rows, dtype=bool)
-                for row, *_ in _matches(batch, shared.value, similarity):
+                for row, *_ in _matches(batch, shared.value):
                     stays[row] = False
                 yield batch.filter(pa.array(stays))
 

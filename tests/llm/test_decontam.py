@@ -103,3 +103,47 @@ def test_document_shorter_than_the_item(spark):
     got = {r.doc_id: (r.item_id, r.start, round(r.similarity, 9)) for r in decontam.contaminated(d, b).collect()}
     assert got == {i: (7, 0, s) for i, s in want.items() if s >= 0.8} and {1, 2, 3} == set(got)
     assert sorted(r.doc_id for r in decontam.decontaminate(d, b).collect()) == [4, 5, 6]
+
+
+def test_blocks_yield_the_candidates(spark, monkeypatch):
+    """Every window's fingerprint asks the blocks of its size; without them nothing is found."""
+    rows, items = corpus(3)
+    asked = []
+    plain = decontam.HammingIndex.candidates
+
+    def counted(self, queries):
+        q, k = plain(self, queries)
+        asked.append((len(queries), len(self.prints), len(k)))
+        return q, k
+
+    monkeypatch.setattr(decontam.HammingIndex, "candidates", counted)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in rows], pa.string())})
+    unique = [x for k, x in enumerate(items) if x not in items[:k]]
+    searched = decontam.Items([i for i, _ in unique], [t or "" for _, t in unique], 0.8)
+    found = {(rows[r][0], searched.ids[k], at) for r, k, at, _ in decontam._matches(batch, searched)}
+    assert found == {x[:3] for x in brute(rows, unique)}
+    assert sum(n for n, *_ in asked) >= len(found) and all(k <= n * members for n, members, k in asked)
+    monkeypatch.setattr(decontam.HammingIndex, "candidates", lambda self, q: (np.zeros(0, int), np.zeros(0, int)))
+    assert not list(decontam._matches(batch, searched))
+
+
+def test_radius_leaves_out_next_to_nothing():
+    """Recall of the radius on pairs of windows at a similarity of just 0.8, by size."""
+    rng = np.random.default_rng(8)
+    for width, changed in ((9, 1), (18, 2), (45, 5), (180, 20)):
+        radius = decontam.radius_for(width, 0.8, False)
+        assert 20 < radius < 30
+        same = rng.integers(0, 1 << 63, (4000, width - changed), dtype=np.uint64)
+        prints = [
+            np.array([int(decontam.simhashes(np.concatenate([row, own]), width)[0]) for row, own in zip(same, rng.integers(0, 1 << 63, (4000, changed), dtype=np.uint64), strict=True)], dtype=np.uint64)
+            for _ in range(2)
+        ]
+        assert (np.bitwise_count(prints[0] ^ prints[1]) <= radius).all()
+
+
+def test_long_text_of_repeats(spark):
+    """A long text made of one item's words over and over is searched in bounded pieces."""
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    d = spark.createDataFrame([(1, f"{item} " * 4000), (2, "other words " * 20000)], "doc_id long, text string")
+    b = spark.createDataFrame([(5, f"{item} {item}")], "item_id long, text string")
+    assert [(r.doc_id, r.start, r.similarity) for r in decontam.contaminated(d, b).collect()] == [(1, 0, 1.0)]
