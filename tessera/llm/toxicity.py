@@ -14,8 +14,10 @@ classes' true shares. Every document is scored, over its whole text.
 
 Defined results: a null text scores like an empty one (the intercept alone); a null
 doc_id counts as text "" for the fold and is scored; labels with null doc_id or null
-toxic are not learned from; with one class or none the score is that class's share (0 if
-no labels); repeated rows are scored one by one; other columns are ignored.
+toxic are not learned from; of texts that share an id the smallest is learned; without
+texts of both classes every score is the share of class 1 among the labels, 0.49 at most,
+so that nothing is rejected on no evidence; repeated rows are scored one by one; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -153,6 +155,13 @@ def fold(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def untrained(totals: dict[int, int]) -> tuple[np.ndarray, float]:
+    """Without texts of both classes nothing tells them apart: every text scores the share of
+    class 1 among the labels, but below one half, so that none is rejected on no evidence."""
+    share = min(max(totals.get(1, 0) / max(sum(totals.values()), 1), 1e-6), 0.49)
+    return np.zeros(1 << BITS, dtype=np.float32), float(np.log(share / (1 - share)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> tuple[np.ndarray, float]:
     """Train on a bounded sample of the labelled rows outside fold 0."""
     known = (
@@ -163,18 +172,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> tuple[np.n
     )
     totals = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(totals) < 2:
-        share = min(max(float(next(iter(totals), 0)), 1e-6), 1 - 1e-6)
-        return np.zeros(1 << BITS, dtype=np.float32), float(np.log(share / (1 - share)))
+        return untrained(totals)
     picked = None
     for c in (0, 1):
         part = known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_column().alias("text"))
     # at most 2 * per_class ids: a proven bound, so broadcast
-    rows = text.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "toxic"]).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    # of texts that share an id the smallest is learned
+    once = text.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = once.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     y = rows["toxic"].to_numpy().astype(np.int64)
-    if not len(y):
-        return np.zeros(1 << BITS, dtype=np.float32), 0.0
+    if len(np.unique(y)) < 2:
+        return untrained(totals)
     have = np.maximum(np.bincount(y, minlength=2), 1)
     weight = np.array([totals[0], totals[1]]) / have
     w = weight[y]

@@ -58,6 +58,9 @@ def test_few_labels(spark, labels):
     d = spark.createDataFrame([(1, "x y"), (2, None)], "doc_id long, text string")
     rows = toxicity.score(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     assert all(0 <= r.score <= 1 for r in rows)
+    # no evidence of any text: the share of class 1 below one half, and nothing is dropped
+    assert all(r.predicted == 0 for r in rows)
+    assert toxicity.drop_toxic(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 2
     assert toxicity.score(d.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
@@ -83,3 +86,49 @@ def test_features_are_the_marked_character_runs():
     table = np.arange(1 << toxicity.BITS, dtype=np.float32) / 1e6
     alone = [toxicity.score_texts([t], table, 0.1)[0] for t in texts]
     assert np.allclose(alone, toxicity.score_texts(texts, table, 0.1))
+
+
+def brute_score(text, table, bias):
+    """Every feature hashed on its own, in whole numbers."""
+    m64 = (1 << 64) - 1
+    code = lambda ch: (1 + (32 if ch in " \t\n\x0b\x0c\r" else ord(ch))) * 0x9E3779B97F4A7C15 & m64
+
+    def rolled(run):
+        h = 0
+        for ch in run:
+            h = (h * 0xD6E8FEB86659FD93 + code(ch)) & m64
+        return h
+
+    def bucket(h):
+        return ((h ^ h >> 32) * 0xBF58476D1CE4E5B9 & m64) >> 64 - toxicity.BITS
+
+    found = []
+    for word in (text or "").lower().split():
+        marked = f" {word} "
+        for n in toxicity.GRAMS:
+            found += [bucket(rolled(marked[i : i + n]) + n & m64) for i in range(len(marked) - n + 1)]
+        h, power = 0, 1
+        for ch in word:
+            h, power = (h + code(ch) * power) & m64, power * 0xD6E8FEB86659FD93 & m64
+        found.append(bucket(h))
+    mean = sum(float(table[b]) for b in found) / max(len(found), 1)
+    return 1 / (1 + np.exp(-(toxicity.SCALE * mean + bias)))
+
+
+def test_scores_equal_brute_force(spark):
+    docs, labels = corpus(150)
+    docs = [x[:2] for x in docs] + [(900, "é Été ÖL\tx " * 40), (901, ""), (902, "w " * 30000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    table, bias = toxicity.fit(d, lab)
+    got = {r.doc_id: r.score for r in toxicity.score(d, lab).collect()}
+    for i, t in docs[::9] + docs[-3:]:
+        assert abs(got[i] - brute_score(t, table, bias)) < 1e-6
+
+
+def test_repeated_ids_train_the_same_way(spark):
+    docs, labels = corpus(60)
+    rows = [x[:2] for x in docs] + [(i, "another text " + t) for i, t, *_ in docs[:30]]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    a, b = (toxicity.fit(spark.createDataFrame(x, "doc_id long, text string"), lab) for x in (rows, rows[::-1]))
+    assert np.array_equal(a[0], b[0]) and a[1] == b[1]
