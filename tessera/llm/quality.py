@@ -5,17 +5,19 @@ windows) give a fixed verdict (base) and a vector of transformed statistics. For
 language and source a minimum-covariance-determinant (MCD) estimate of centre and scatter
 is found by concentration steps: keep the 75 % of documents nearest by Mahalanobis
 distance, re-estimate, repeat. Two starts (medians with robust spreads, plain moments)
-run side by side, the smaller determinant wins. A document far outside its group is
-rejected. A floor on each variance (a regularised MCD) keeps the scatter invertible where
+run side by side until no determinant changes any more, the smaller determinant wins. A
+document far outside its group is rejected. A group of fewer than ``least`` documents is
+judged by the estimate of all documents of its language, and if these are too few by that
+of the whole table. A floor on each variance (a regularised MCD) keeps the scatter invertible where
 most documents share a value, as with symbol counts of zero.
 
 Everything that is gathered (histograms of quantised values, sums of products) is a
 mergeable aggregate by group, so a hot source costs no more than its partial sums, and
 all documents count.
 
-Defined results: a null text is empty; null language or source is a group of its own;
-groups of fewer than ``least`` documents that pass the fixed rules reject nothing; rows
-are judged one by one, also repeated ones; doc_id may be null; other columns are ignored.
+Defined results: a null text is empty; a null language or source is a group of its own,
+apart from an empty one; a table of fewer than ``least`` documents that pass the fixed rules
+has no estimate, and only these rules reject; rows are judged one by one, also repeated ones; doc_id may be null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,8 +71,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     gap, any_word = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
+        F.col("lang").cast("string").alias("lang"),
+        F.col("source").cast("string").alias("source"),
         text_column().alias("text"),
     )
     parts = base.select(
@@ -156,8 +158,12 @@ def _robust_start(rows: DataFrame) -> DataFrame:
     return both.groupBy("g").agg(*wide).withColumn("start", F.lit(0)).withColumns(zero)
 
 
-def mcd(rows: DataFrame, steps: int = 3, least: int = 30) -> DataFrame:
-    """g, log_det, means and factors of each group's MCD estimate, from rows (g, x_i)."""
+def mcd(rows: DataFrame, steps: int = 12, least: int = 30, settled: float = 1e-3) -> DataFrame:
+    """g, log_det, means and factors of each group's MCD estimate, from rows (g, x_i).
+
+    Concentration steps end when no group's log determinant moves by ``settled``, and after
+    ``steps`` of them at the latest (quantised bounds may swing by a row for ever).
+    """
     sized = rows.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= least)
     rows = rows.join(sized.select("g"), "g", "left_semi").select("g", *X)
     columns = ["g", "start", *[f"m{i}" for i in range(D)], *[f"c{i}_{j}" for i in range(D) for j in range(i + 1)]]
@@ -171,22 +177,48 @@ def mcd(rows: DataFrame, steps: int = 3, least: int = 30) -> DataFrame:
         bound = _quantile(measured, ["g", "start"], F.log1p("d2"), KEEP, 1 / 128)
         bound = cut(bound)
         nearest = measured.join(bound, ["g", "start"]).where(F.log1p("d2") <= F.col("bound"))
-        now = cut(_cholesky(_floored(_moments(nearest), factor)))
+        before, now = now, cut(_cholesky(_floored(_moments(nearest), factor)))
+        both = now.join(before.select("g", "start", F.col("log_det").alias("was")), ["g", "start"])
+        if (both.agg(F.max(F.abs(F.col("log_det") - F.col("was"))).alias("moved")).first().moved or 0) < settled:
+            break
     best = Window.partitionBy("g").orderBy("log_det", "start")
     return now.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
 
 
-def judge(docs: DataFrame, steps: int = 3, least: int = 30) -> DataFrame:
+def _key(*names: str):
+    """One string for the values of some columns; null and empty differ."""
+    return F.concat(*[F.concat(F.coalesce(F.length(n), F.lit(-1)).cast("string"), F.lit(":")) for n in names], *[F.coalesce(n, F.lit("")) for n in names])
+
+
+def _judges(rows: DataFrame, least: int) -> DataFrame:
+    """own, g: the group whose estimate judges each (language, source), by how many documents
+    of a group pass the fixed rules."""
+    sizes = rows.groupBy("own", "parent").agg(F.count_if(~F.col("base_failed")).alias("n"))  # one row for each group
+    by_parent = Window.partitionBy("parent")
+    enough = F.when(F.col("n") >= least, F.col("own")).when(F.col("n_parent") >= least, F.col("parent")).otherwise(F.lit(_ALL))
+    return cut(sizes.withColumn("n_parent", F.sum("n").over(by_parent)).select("own", enough.alias("g")))
+
+
+#: The group of all documents.
+_ALL = "*"
+
+
+def judge(docs: DataFrame, steps: int = 12, least: int = 30) -> DataFrame:
     """doc_id, counts, base_failed, kept and the squared distance (null where not measured)."""
     features = [F.expr(e).alias(x) for x, (e, _) in FEATURES.items()]
     failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
-    rows = Stash(statistics(docs).select("*", failed.alias("base_failed"), F.struct("lang", "source").alias("g"), *features)).df
-    estimates = mcd(rows.where("not base_failed"), steps, least)
+    own, parent = F.concat(F.lit("own "), _key("lang", "source")), F.concat(F.lit("lang "), _key("lang"))
+    rows = Stash(statistics(docs).select("*", failed.alias("base_failed"), own.alias("own"), parent.alias("parent"), *features)).df
+    passed = rows.where("not base_failed")
+    judges = _judges(rows, least)
+    # each row takes part in those of its three groups that judge some group
+    used = judges.select("g").distinct()
+    taking = passed.select(F.explode(F.array("own", "parent", F.lit(_ALL))).alias("g"), *X).join(used, "g", "left_semi")
+    estimates = mcd(taking, steps, least)
     limit = _chi2_quantile(1 - TAIL, D)
-    # judged by the estimate of its group; groups without one reject nothing
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     parts = [x for x in estimates.columns if x != "g"]
-    known = rows.join(estimates.select("g", *parts), "g", "left")
+    known = rows.join(judges.select("own", "g"), "own").join(estimates.select("g", *parts), "g", "left")
     for i, x in enumerate(X):
         rest = F.col(x) - F.col(f"m{i}")
         for j in range(i):
