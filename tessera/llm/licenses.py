@@ -51,9 +51,9 @@ def words_column(text):
     return F.filter(F.split(F.lower(plain), _GAP), lambda w: w != "")
 
 
-def _templates(spark, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
-    rows = [(i, label, text.split(), kind) for i, (text, label, kind) in enumerate([*((t, n, True) for t, n in phrases.items()), *((t, n, False) for t, n in notices.items())])]
-    return spark.createDataFrame(rows, "template int, label string, template_words array<string>, base boolean")
+def _literals(spark, rows: list[dict]) -> DataFrame:
+    """A table of a few fixed rows, made of literals by the JVM alone."""
+    return spark.range(1).select(F.explode(F.array(*[F.struct(*[c.alias(n) for n, c in r.items()]) for r in rows])).alias("r")).select("r.*")
 
 
 #: Hash of the row that stands for the document itself, so that each document joins.
@@ -63,30 +63,37 @@ _SELF = 0
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None, share: float = 0.8, reach: int = 2) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    One pass over the texts: the 2-grams stream through a broadcast join with the
-    templates (a few hundred rows, given as literals), which also compares the words, so
-    only matches and one row for each document are shuffled.
+    One pass over the texts: 2-grams whose hash no template has are left out as they are
+    made, the others carry their two words into a broadcast join with the templates (a few
+    hundred rows, given as literals), which also compares the words, so only matches and
+    one row for each document are shuffled.
     """
     spark = docs.sparkSession
-    templates = _templates(spark, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices)
+    listed = [*((t, n, True) for t, n in (PHRASES if phrases is None else phrases).items()), *((t, n, False) for t, n in (NOTICES if notices is None else notices).items())]
+    templates = _literals(spark, [{"template": F.lit(i), "label": F.lit(label), "template_words": F.array(*map(F.lit, text.split())), "base": F.lit(base)} for i, (text, label, base) in enumerate(listed)])
     # rows are told apart by their content: equal rows have equal results
     row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_column()).alias("text"))
     base = docs.select(row.alias("row"), words_column(text_column()).alias("words"))
 
-    pairs = "transform(sequence(0, size(words) - 2), i -> xxhash64(words[i], words[i + 1]))"
-    grams = F.expr(f"if(size(words) > 1, concat(array({_SELF}L), {pairs}), array({_SELF}L))")
-    template_grams = (
-        templates.where("size(template_words) > 1")
-        .select("template", F.posexplode(F.expr("transform(sequence(0, size(template_words) - 2), i -> struct(template_words[i] as w1, template_words[i + 1] as w2))")).alias("p", "w"))
-        .select(F.xxhash64("w.w1", "w.w2").alias("h"), "template", "p", "w.w1", "w.w2")
-        .unionByName(spark.createDataFrame([(_SELF, -1, 0, None, None)], "h long, template int, p int, w1 string, w2 string"))
+    places = [(i, p, *text.split()[p : p + 2]) for i, (text, *_) in enumerate(listed) for p in range(len(text.split()) - 1)]
+    empty = F.lit(None).cast("string")
+    template_grams = _literals(
+        spark,
+        [{"h": F.lit(_SELF).cast("long"), "template": F.lit(-1), "p": F.lit(0), "t1": empty, "t2": empty}]
+        + [{"h": F.xxhash64(F.lit(a), F.lit(b)), "template": F.lit(i), "p": F.lit(p), "t1": F.lit(a), "t2": F.lit(b)} for i, p, a, b in places],
     )
-    # i - 1 is the document word of a 2-gram; 0 stands for the document
+    known = sorted({(a, b) for *_, a, b in places})
+    pairs = F.expr("transform(sequence(0, size(words) - 2), i -> struct(i as i, xxhash64(words[i], words[i + 1]) as h, words[i] as w1, words[i + 1] as w2))")
+    # (place, hash, two words); place -1 stands for the document
+    itself = F.array(F.struct(F.lit(-1).alias("i"), F.lit(_SELF).cast("long").alias("h"), empty.alias("w1"), empty.alias("w2")))
+    matched = F.filter(pairs, lambda g: g["h"].isin(*[F.xxhash64(F.lit(a), F.lit(b)) for a, b in known])) if known else None
+    grams = F.when(F.size("words") > 1, F.concat(itself, matched)).otherwise(itself) if known else itself
     met = (
-        base.select("row", "words", F.posexplode(grams).alias("i", "h"))
+        base.select("row", F.size("words").cast("long").alias("n_words"), F.explode(grams).alias("g"))
+        .select("row", "n_words", "g.*")
         .join(F.broadcast(template_grams), "h")
-        .where("template = -1 and i = 0 or get(words, i - 1) = w1 and get(words, i) = w2")
-        .select("row", F.size("words").cast("long").alias("n_words"), "template", "p", (F.col("i") - 1 - F.col("p")).alias("diagonal"))
+        .where("template = -1 and i = -1 or w1 = t1 and w2 = t2")
+        .select("row", "n_words", "template", "p", (F.col("i") - F.col("p")).alias("diagonal"))
     )
     votes = Stash(met.groupBy("row", "n_words", "template", "diagonal").agg(F.count("*").alias("rows"), F.collect_set("p").alias("ps"))).df
     named = votes.join(F.broadcast(templates), "template")
