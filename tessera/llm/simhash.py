@@ -14,8 +14,8 @@ the planes, until all lanes have passed the radius. A bucket yields a star of it
 members, never its pairs.
 
 Defined results: a null text is empty; no words give fingerprint zero; a null doc_id is
-ignored when the smallest is taken, and its component_id is that of its fingerprint (null
-if no id in the component is known); repeated rows give repeated result rows.
+ignored when the smallest is taken, and its component_id is that of its component (null
+if no id in it is known); repeated rows give repeated result rows.
 """
 
 from __future__ import annotations
@@ -235,6 +235,7 @@ def _finer(mask: int, radius: int) -> list[int]:
 
 def stars(nodes: DataFrame, radius: int = 2, parts: int = 4, bucket: int = BUCKET) -> DataFrame:
     """Links (u, v), u > v, that join just the nodes (node, fp distinct) within the radius."""
+    C.ship(nodes.sparkSession)
     masks = bucket_masks(radius, parts)
     rows = nodes.select(F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"), "fp", "node")
     out = None
@@ -288,12 +289,11 @@ def near_components(docs: DataFrame, shingle: int = 3, radius: int = 2, parts: i
     """doc_id, fp, component_id for every row."""
     prints = C.cut(fingerprints(docs, shingle))
     nodes = C.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("known")))
-    # a fingerprint whose rows have no id takes part under its own negative number
-    nodes = nodes.withColumn("node", F.coalesce("known", F.xxhash64("fp").bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))))
-    roots = components(stars(nodes.select("fp", "node"), radius, parts))
-    named = nodes.join(roots, "node", "left").select(
-        "fp", F.when(F.col("root").isNull(), F.col("known")).otherwise(F.col("root")).alias("component_id")
-    )
+    # the fingerprint is the node: rows without an id link others, but name no component
+    roots = components(stars(nodes.select("fp", F.col("fp").alias("node")), radius, parts))
+    members = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "known", F.coalesce("root", "fp").alias("root"))
+    smallest = members.groupBy("root").agg(F.min("known").alias("component_id"))
+    named = members.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

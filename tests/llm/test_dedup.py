@@ -113,6 +113,16 @@ def test_near_duplicates_match_brute_force(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_rows_without_ids_link_but_name_nothing(spark):
+    """Linked rows that all lack an id have no component id; with one id known it is theirs."""
+    near = "the quick brown fox jumps over the lazy dog " * 30
+    rows = [(None, near), (None, near + "tail"), (None, "something else altogether here"), (None, None), (1 << 62, "x y z")]
+    rows += [((1 << 62) + 9, "x y z"), (None, "x y z")]
+    want = brute_components([(d, brute_fingerprint(t)) for d, t in rows])
+    got = simhash.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(((r[0], int(r[1], 16), r[2]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_dense_buckets_are_cut_and_lose_no_link(spark):
     rng = random.Random(3)
     fps = set()
