@@ -12,10 +12,16 @@ of a pair of similarity 0.8 differs with probability 0.1875 at most, for 4 of 5
 (0.1514 for long texts); more than 27 of 64 do with probability under 3.9e-6, less than the
 keys lose, so very short texts need no path of their own. In a first
 round every node keeps its nearest neighbour on either side and its first one, and these
-links are verified exactly. In a second round every pair of a block that the first has not
-joined already is verified on the shingles themselves, unless a link found earlier in the
-block has joined it. A block with more than ``BLOCK`` nodes is dealt into salted parts; the
-first round looks within parts, the second at each part against itself and every other.
+links are verified exactly; a block with more than ``BLOCK`` nodes is dealt into salted
+parts for it. The second round loses none of the other pairs:
+
+* In a block of at most ``BLOCK`` nodes every pair that is not yet joined is verified on the
+  shingles themselves, unless a link found earlier in the block has joined it.
+* Nodes of larger blocks meet again by rare shingles. In any order of all shingles, two sets
+  of similarity s share one of their first n - ceil(s n) + 1. Shingles are ordered by counts
+  of a hash of fixed size (``COUNTS``), so those that a whole block shares come last and
+  only texts with rare shingles in common meet. Where a rare shingle is shared by more than
+  ``BLOCK`` nodes that are not all joined, each part of them meets itself and every other.
 
 Defined results: a null text is empty, and texts without a word are copies of each other;
 a null doc_id comes after all others; of repeated rows one stays; all columns are kept.
@@ -36,6 +42,8 @@ from tessera.llm import simhash as S
 KEYS = 12
 RADIUS = 27
 BLOCK = 1024
+#: Buckets of the shingle counts that order rare shingles first: 8 MB at any input size.
+COUNTS = 1 << 20
 #: Shingles of groups that are verified in one go.
 VALUES = 1 << 21
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, size=(2 * KEYS, 2), dtype=np.uint64) | np.uint64(1)
@@ -298,9 +306,9 @@ def near_duplicate_roots(docs: DataFrame, similarity: float = 0.8, shingle: int
 
     # every other pair, where the nodes that have one meet
     rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    against = rooted.withColumn("side", F.col("part")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    grouped = against.withColumn("part", F.least("side", "other") * F.col("parts") + F.greatest("side", "other"))
-    grouped = grouped.select("t", *_GROUP, "side", "node", "root", "fp", "size").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
+    small = rooted.where("parts = 1").select("t", "block", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("side"), "node", "root", "fp", "size")
+    grouped = small.unionByName(_rare_blocks(rooted.where("parts > 1"), nodes, base, similarity, shingle))
+    grouped = grouped.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
     left_over = C.Stash(grouped.mapInArrow(_open_rows(RADIUS, similarity), "t int, block long, part long, side long, node long, root long")).df
     C.release(spark)
     sets = _sets_of(left_over.select("node").distinct(), nodes, base, shingle).join(nodes.select("node", "fp", "keys"), "node")
@@ -312,6 +320,62 @@ def near_duplicate_roots(docs: DataFrame, similarity: float = 0.8, shingle: int
     return rows, roots
 
 
+def _bucket(values: np.ndarray) -> np.ndarray:
+    return (C.mix(values.astype(np.int64).view(np.uint64)) & np.uint64(COUNTS - 1)).astype(np.int64)
+
+
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, n: how many shingles of this part fall into each bucket."""
+    total = np.zeros(COUNTS, dtype=np.int64)
+    for batch in batches:
+        total += np.bincount(_bucket(batch.column("shingles").flatten().to_numpy(zero_copy_only=False)), minlength=COUNTS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
+
+
+def rare_first(sizes: np.ndarray, values: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(set, shingle): the rarest shingles of each set, of which similar sets share one."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((values, counts[_bucket(values)], owner))
+    place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    stays = place < first[owner]
+    return owner[stays], values[order][stays]
+
+
+def _rare_rows(counts, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("shingles").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner, values = rare_first(sizes, batch.column("shingles").flatten().to_numpy(zero_copy_only=False), counts.value, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(values), batch.column("node").take(pa.array(owner))], names=["rare", "node"])
+
+    return run
+
+
+def _rare_blocks(large: DataFrame, nodes: DataFrame, base: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Blocks by rare shingles of the nodes of large blocks, without those of one root.
+
+    A block of more than ``BLOCK`` nodes is dealt into parts, and each pair of parts is a
+    group of its own.
+    """
+    spark = large.sparkSession
+    members = large.select("node", "root", "fp", "size").distinct()
+    sets = _sets_of(members.select("node"), nodes, base, shingle)
+    counts = np.zeros(COUNTS, dtype=np.int64)
+    found = sets.mapInArrow(_count_rows, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # COUNTS rows at most
+    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    rare = C.Stash(sets.mapInArrow(_rare_rows(spark.sparkContext.broadcast(counts), similarity), "rare int, node long").join(members.select("node", "root"), "node")).df
+    C.release(spark)
+    open_ = rare.groupBy("rare").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    met = rare.join(open_.select("rare", F.ceil(F.col("n") / BLOCK).alias("parts")), "rare").withColumn("side", F.pmod(F.xxhash64("node", "rare"), "parts"))
+    against = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    part = F.least("side", "other") * F.col("parts") + F.greatest("side", "other")
+    # t = 0: no earlier block has looked at these pairs
+    placed = against.select(F.lit(0).alias("t"), F.xxhash64(F.lit("rare"), "rare").alias("block"), part.alias("part"), "side", "node", "root")
+    return placed.join(members.select("node", "fp", "size"), "node").select("t", *_GROUP, "side", "node", "root", "fp", "size")
+
+
 def _sets_of(wanted: DataFrame, nodes: DataFrame, base: DataFrame, shingle: int) -> DataFrame:
     """node, shingles of the wanted nodes."""
     wanted = wanted.join(nodes.select("node", "rep"), "node").select("node", "rep.doc_id", "rep.row_hash")
@@ -326,7 +390,6 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int
     grouped = rows.select("doc_id", "row_hash", "node").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
     stays = C.cut(grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_hash")).alias("keep")).select(F.col("keep.doc_id").alias("_id"), F.col("keep.row_hash").alias("_hash")))
     C.release(docs.sparkSession)
-    columns = docs.columns
-    marked = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_text", F.xxhash64(C.text_column()))
-    kept = marked.join(stays.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["_key", "_text"]).select(*columns)
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.col("row.doc_id").cast("long").alias("key"), F.xxhash64(C.text_column("row.text")).alias("text"))
+    kept = marked.join(stays.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["key", "text"]).select("row.*")

@@ -60,9 +60,10 @@ def corpus(seed=1):
 def test_one_of_each_group_stays(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = corpus()
-    d = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, node string, fp int")
+    d = spark.createDataFrame([(i, t, "clash", 1, "k", "x") for i, t in rows], "doc_id long, text string, node string, fp int, _key string, _text string")
     kept = near_dedup.drop_near_duplicates(d)
     assert kept.columns == d.columns
+    assert {(r.node, r.fp, r._key, r._text) for r in kept.collect()} == {("clash", 1, "k", "x")}
     got = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
     assert got == brute_kept(rows)
     if block == 1024:
@@ -126,3 +127,42 @@ def test_radius_loses_no_more_than_the_keys():
     p = max(differs(n, x, y) for n in range(1, 60) for x in range(15) for y in range(x, 15) if n >= 0.8 * (n + x + y))
     beyond = sum(math.comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(near_dedup.RADIUS + 1, 65))
     assert p == 0.1875 and beyond < 0.36**near_dedup.KEYS
+
+
+@pytest.mark.parametrize("block", [6, 64, 1024])
+def test_common_text_loses_no_pair(spark, monkeypatch, block):
+    """Pairs over a common text of nearly the threshold: equal to brute force at any block size."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(21)
+    base = [f"c{i}" for i in range(160)]
+    rows = []
+    for k in range(120):
+        own = [f"p{k}x{i}" for i in range(36)]
+        for j in range(2):
+            words = [*base, *own]
+            words[rng.randrange(165, 190)] = f"d{k}y{j}"
+            rows.append((len(rows), " ".join(words)))
+    assert len(brute_kept(rows)) == 120
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((False, r.doc_id) for r in near_dedup.drop_near_duplicates(d).collect()) == brute_kept(rows)
+
+
+def test_similar_sets_share_a_rare_shingle():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 50, near_dedup.COUNTS)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        both = rng.integers(-(1 << 31), 1 << 31, n, dtype=np.int64).astype(np.int32)
+        extra = [rng.integers(-(1 << 31), 1 << 31, int(rng.integers(0, n // 4 + 1)), dtype=np.int64).astype(np.int32) for _ in range(2)]
+        a, b = (np.unique(np.concatenate([both, e])) for e in extra)
+        if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+            continue
+        owner, values = near_dedup.rare_first(np.array([len(a), len(b)]), np.concatenate([a, b]), counts, 0.8)
+        assert set(values[owner == 0]) & set(values[owner == 1])
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(40000))
+    rows = [(1, long), (2, long + " end"), (3, " ".join(f"v{i}" for i in range(30000))), (4, None)]
+    kept = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
