@@ -42,8 +42,8 @@ from tessera.llm import simhash as S
 KEYS = 12
 RADIUS = 27
 BLOCK = 1024
-#: Buckets of the shingle counts that order rare shingles first: 8 MB at any input size.
-COUNTS = 1 << 20
+#: Buckets of the shingle counts that order rare shingles first: half a MB at any input size.
+COUNTS = 1 << 16
 #: Shingles of groups that are verified in one go.
 VALUES = 1 << 21
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, size=(2 * KEYS, 2), dtype=np.uint64) | np.uint64(1)
@@ -343,12 +343,16 @@ def rare_first(sizes: np.ndarray, values: np.ndarray, counts: np.ndarray, simila
     return owner[stays], values[order][stays]
 
 
+_MEMBER = ("node", "root", "fp", "size")
+
+
 def _rare_rows(counts, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("shingles").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             owner, values = rare_first(sizes, batch.column("shingles").flatten().to_numpy(zero_copy_only=False), counts.value, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(values), batch.column("node").take(pa.array(owner))], names=["rare", "node"])
+            rows = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(values), *(batch.column(c).take(rows) for c in _MEMBER)], names=["rare", *_MEMBER])
 
     return run
 
@@ -359,21 +363,19 @@ def _rare_blocks(large: DataFrame, nodes: DataFrame, base: DataFrame, similarity
     A block of more than ``BLOCK`` nodes is dealt into parts, and each pair of parts is a
     group of its own.
     """
-    spark = large.sparkSession
-    members = large.select("node", "root", "fp", "size").distinct()
-    sets = _sets_of(members.select("node"), nodes, base, shingle)
+    members = C.cut(large.select(*_MEMBER).distinct())
+    sets = C.cut(_sets_of(members.select("node"), nodes, base, shingle).join(members, "node"))
     counts = np.zeros(COUNTS, dtype=np.int64)
     found = sets.mapInArrow(_count_rows, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # COUNTS rows at most
     counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    rare = C.Stash(sets.mapInArrow(_rare_rows(spark.sparkContext.broadcast(counts), similarity), "rare int, node long").join(members.select("node", "root"), "node")).df
-    C.release(spark)
+    shared = large.sparkSession.sparkContext.broadcast(counts)  # of fixed size
+    rare = C.Stash(sets.mapInArrow(_rare_rows(shared, similarity), "rare int, node long, root long, fp long, size int")).df
     open_ = rare.groupBy("rare").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     met = rare.join(open_.select("rare", F.ceil(F.col("n") / BLOCK).alias("parts")), "rare").withColumn("side", F.pmod(F.xxhash64("node", "rare"), "parts"))
     against = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     part = F.least("side", "other") * F.col("parts") + F.greatest("side", "other")
     # t = 0: no earlier block has looked at these pairs
-    placed = against.select(F.lit(0).alias("t"), F.xxhash64(F.lit("rare"), "rare").alias("block"), part.alias("part"), "side", "node", "root")
-    return placed.join(members.select("node", "fp", "size"), "node").select("t", *_GROUP, "side", "node", "root", "fp", "size")
+    return against.select(F.lit(0).alias("t"), F.xxhash64(F.lit("rare"), "rare").alias("block"), part.alias("part"), "side", *_MEMBER)
 
 
 def _sets_of(wanted: DataFrame, nodes: DataFrame, base: DataFrame, shingle: int) -> DataFrame:
