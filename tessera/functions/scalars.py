@@ -34,7 +34,8 @@ def knuth_hash(column: Column, bits: int) -> Column:
 
 def fuzzy_match(column: Column, letters: str) -> Column:
     """The letters occur in this order, ignoring case."""
-    return F.lower(column).rlike(".*".join(re.escape(c) for c in letters.lower()))
+    # letters may lie on different lines
+    return F.lower(column).rlike("(?s)" + ".*".join(re.escape(c) for c in letters.lower()))
 
 
 def file_name(path: Column) -> Column:
@@ -49,6 +50,15 @@ def depth(path: Column) -> Column:
     return (F.size(F.split(path, "/")) - 1).cast("long")
 
 
+#: Bytes a second that a plain scan is taken to read (fixed value).
+SCAN_SPEED = 6.5e9
+
+
+def scan_ms(size: Column) -> Column:
+    """Milliseconds that a plain scan of so many bytes is estimated to take."""
+    return size / F.lit(SCAN_SPEED) * 1000
+
+
 def show_float(x: float) -> str:
     """Integers without a point, else at most six decimals without trailing zeros."""
     return str(int(x)) if x == int(x) else f"{x:.6f}".rstrip("0").rstrip(".")

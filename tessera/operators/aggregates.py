@@ -52,7 +52,8 @@ def describe_table(df: DataFrame) -> DataFrame:
 def iqr_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """Sample statistics after dropping values beyond 1.5 interquartile ranges."""
     quarts = df.groupBy(key).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
-    kept = df.join(F.broadcast(quarts), key).where("%s between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)" % value)
+    kept = df.join(quarts, key)  # one row for each group: the planner may broadcast it by its size
+    kept = kept.where("%s between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)" % value)
     return kept.groupBy(key).agg(
         F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean_v"), F.percentile(value, 0.5).alias("median_v"),
         F.round(F.stddev_samp(value), 6).alias("stddev_v"), F.round(F.stddev_samp(value) / F.avg(value) * 100, 6).alias("cv_percent"),

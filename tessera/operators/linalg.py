@@ -23,9 +23,15 @@ def coordinates(df: DataFrame, row: str, matrix: str, row_name: str, column_name
     return df.select(F.col(row).alias(row_name), F.posexplode(F.col(matrix).cast("array<double>")).alias(column_name, "v"))
 
 
+#: Keys that each query of ``attention`` meets at once.
+KEY_BLOCK = 4096
+
+
 def attention(queries: DataFrame, keys: DataFrame, dim: int) -> DataFrame:
     """softmax(Q K' / sqrt(dim)) V in long form; keys carry k and v arrays. The keys are one
-    stated block, each query meets all of them."""
+    stated block of at most ``KEY_BLOCK`` rows, each query meets all of them."""
+    if keys.limit(KEY_BLOCK + 1).count() > KEY_BLOCK:
+        raise ValueError(f"more than {KEY_BLOCK} keys in a block")
     score = F.aggregate(F.zip_with("q", "k", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p) / (dim**0.5)
     met = queries.join(F.broadcast(keys)).select("q_id", score.alias("s"), "v")
     top = met.groupBy("q_id").agg(F.max("s").alias("top"))

@@ -13,6 +13,11 @@ def argsort(df: DataFrame, key: str, row: str) -> DataFrame:
     return row_index(df, key, [row], "rank").select("rank", row)
 
 
+def unsigned_order(column: Column) -> list[Column]:
+    """Sort keys for longs that hold unsigned 64-bit numbers: the sign bit is their highest."""
+    return [(column < 0).asc(), column.asc()]
+
+
 def total_order(column: Column) -> list[Column]:
     """Sort keys for IEEE total order of doubles: -NaN .. -0.0 < 0.0 .. NaN.
 

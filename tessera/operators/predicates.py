@@ -19,6 +19,22 @@ def compare(column: Column, op: str, value, floating: bool = False) -> Column:
     return (test | F.isnan(column)) if op == "!=" else (test & ~F.isnan(column))
 
 
+def compare_unsigned(column: Column, op: str, value: int) -> Column:
+    """``column op value`` for a long that holds an unsigned 64-bit number.
+
+    Plain comparisons of the long itself, so they reach the scan: numbers with the highest
+    bit set are negative longs, and come after all others.
+    """
+    top, v = column < 0, F.lit(value - (1 << 64) if value >> 63 else value)
+    if op in ("=", "!="):
+        return _OPS[op](column, v)
+    below = op in ("<", "<=")
+    inside = _OPS[op](column, v)
+    if value >> 63:
+        return (~top | inside) if below else (top & inside)
+    return (~top & inside) if below else (top | inside)
+
+
 def all_of(*tests: Column) -> Column:
     return reduce(operator.and_, tests)
 

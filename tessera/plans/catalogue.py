@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
 from tessera.operators import aggregates as A
@@ -17,7 +16,7 @@ from tessera.operators import predicates as P
 from tessera.operators import ranges as R
 from tessera.operators import text as X
 from tessera.operators import windows as W
-from tessera.sources import files, sinks
+from tessera.sources import files, shared, sinks
 from tessera.streaming import changelog as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,7 +69,13 @@ query("filter_typed_float", "SELECT vec_id, label FROM embeddings WHERE embeddin
     lambda t: t.embeddings.where(P.compare(c("embedding")[0], ">", F.lit(0.1).cast("float"), True)).select("vec_id", "label")
 )
 query("filter_typed_u32", "SELECT event_id FROM events WHERE CAST(user_id AS UINTEGER) >= 50")(lambda t: t.events.where(P.compare(c("user_id").cast("long"), ">=", 50)).select("event_id"))
-query("filter_typed_u64", "SELECT o_orderkey FROM orders WHERE CAST(o_orderkey AS UBIGINT) < 500")(lambda t: t.orders.where(P.compare(c("o_orderkey").cast("decimal(20,0)"), "<", 500)).select("o_orderkey"))
+query("filter_typed_u64", "SELECT o_orderkey FROM orders WHERE CAST(o_orderkey AS UBIGINT) < 500")(lambda t: t.orders.where(P.compare_unsigned(c("o_orderkey"), "<", 500)).select("o_orderkey"))
+# every second key has the highest bit of an unsigned number set
+_HIGH = "CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey - 9223372036854775807 - 1 ELSE o_orderkey END"
+_HIGH_U = "CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS UBIGINT) + 9223372036854775808::UBIGINT ELSE CAST(o_orderkey AS UBIGINT) END"
+query("filter_unsigned_high", f"SELECT o_orderkey FROM orders WHERE {_HIGH_U} >= 9223372036854775900::UBIGINT OR {_HIGH_U} < 300::UBIGINT")(
+    lambda t: t.orders.select("o_orderkey", F.expr(_HIGH).alias("k")).where(P.any_of(P.compare_unsigned(c("k"), ">=", 9223372036854775900), P.compare_unsigned(c("k"), "<", 300))).select("o_orderkey")
+)
 query("filter_str_eq", "SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'")(lambda t: t.orders.where(P.compare(c("o_orderpriority"), "=", "1-URGENT")).select("o_orderkey"))
 query("filter_str_range", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment >= 'F' AND c_mktsegment < 'N'")(
     lambda t: t.customer.where(P.all_of(c("c_mktsegment") >= "F", c("c_mktsegment") < "N")).select("c_custkey", "c_name")
@@ -83,7 +88,7 @@ query("filter_or", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity
 )
 query("filter_literal_left", "SELECT l_orderkey FROM lineitem WHERE 45 < l_quantity")(lambda t: t.lineitem.where(F.lit(45) < c("l_quantity")).select("l_orderkey"))
 query("filter_negative_literal", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < -100.5")(lambda t: t.customer.where(c("c_acctbal") < -100.5).select("c_custkey", "c_acctbal"))
-query("filter_count", "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 25")(lambda t: t.lineitem.agg(F.count_if(c("l_quantity") > 25).alias("n")))
+query("filter_count", "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 25")(lambda t: t.lineitem.where(c("l_quantity") > 25).agg(F.count("*").alias("n")))
 query("filter_between", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 12")(lambda t: t.lineitem.where(c("l_quantity").between(10, 12)).select("l_orderkey", "l_quantity"))
 query("filter_nested_bool", "SELECT l_orderkey FROM lineitem WHERE (l_quantity < 3 OR l_quantity > 48) AND NOT (l_quantity = 50) AND (l_quantity <> 1 OR l_quantity = 2)")(
     lambda t: t.lineitem.where(P.all_of(P.any_of(c("l_quantity") < 3, c("l_quantity") > 48), ~(c("l_quantity") == 50), P.any_of(c("l_quantity") != 1, c("l_quantity") == 2))).select("l_orderkey")
@@ -137,28 +142,28 @@ query("scan_parquet", "SELECT o_orderkey, o_totalprice FROM orders")(lambda t: t
 
 def _rewritten(t: Tables, kind: str) -> DataFrame:
     """A table written as text in one format and read again with inferred types."""
-    from pyspark import SparkContext
+    import uuid
 
     from tessera.sources.detect import read_any
 
-    sc: SparkContext = t.spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or t.spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/tessera-{sc.applicationId}-{kind}"
+    path = f"{shared.folder(t.spark)}/tessera-{uuid.uuid4().hex}-{kind}"
     df = t.supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     if kind == "csv":
         df.write.mode("overwrite").csv(path, header=True)
     else:
         df.write.mode("overwrite").json(path)
-    return read_any(t.spark, path).select(c("s_suppkey").cast("long"), "s_name", c("s_nationkey").cast("int"), "s_acctbal")
+    return read_any(t.spark, path)
 
 
 for _kind in ("csv", "json"):
-    query(f"scan_{_kind}", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")(lambda t, k=_kind: _rewritten(t, k))
+    query(f"scan_{_kind}", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")(lambda t, k=_kind: _rewritten(t, k).select(c("s_suppkey").cast("long"), "s_name", c("s_nationkey").cast("int"), "s_acctbal"))
 
 
-@query("infer_schema", "SELECT * FROM (VALUES ('s_acctbal', 'double'), ('s_name', 'string'), ('s_nationkey', 'int'), ('s_suppkey', 'bigint')) AS x(column_name, column_type)")
+@query("infer_schema", "SELECT 'csv' AS format, * FROM (VALUES ('s_acctbal', 'double'), ('s_name', 'string'), ('s_nationkey', 'int'), ('s_suppkey', 'int')) AS x(column_name, column_type) UNION ALL SELECT 'json', * FROM (VALUES ('s_acctbal', 'double'), ('s_name', 'string'), ('s_nationkey', 'bigint'), ('s_suppkey', 'bigint')) AS y")
 def _infer_schema(t):
-    return t.spark.createDataFrame(_rewritten(t, "json").dtypes, "column_name string, column_type string")
+    # the types that the readers find in the text, without any cast
+    rows = [(kind, *pair) for kind in ("csv", "json") for pair in _rewritten(t, kind).dtypes]
+    return t.spark.createDataFrame(rows, "format string, column_name string, column_type string")
 
 
 @query("list_tables", "SELECT unnest(['benchmark','conversations','customer','documents','embeddings','events','labels','lineitem','nation','orders','pages','part','region','supplier']) AS table_name")
@@ -171,8 +176,7 @@ def _list_tables(t):
 
 
 query("dict_encode", "SELECT DISTINCT o_orderpriority AS word, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS BIGINT) AS code FROM orders")(
-    # ranks over the distinct words only
-    lambda t: t.orders.select(c("o_orderpriority").alias("word")).distinct().select("word", (F.dense_rank().over(Window.orderBy("word")) - 1).cast("long").alias("code"))
+    lambda t: R.row_index(t.orders.select(c("o_orderpriority").alias("word")).distinct(), "word", [], "code")
 )
 query("csv_structure_counts", "SELECT count(*) AS n_lines, CAST(sum(length(l) - length(replace(l, ',', ''))) AS BIGINT) AS n_delimiters, CAST(sum(length(l)) AS BIGINT) AS n_chars FROM (SELECT text AS l FROM documents)")(
     lambda t: files.csv_structure(t.documents.select(c("text").alias("value")))
@@ -209,8 +213,8 @@ _GRID = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 query("column_sums", "SELECT " + ", ".join(f"{money_sql(x)} AS {x}" for x in _GRID) + " FROM lineitem")(lambda t: t.lineitem.agg(*[A.money(x).alias(x) for x in _GRID]))
 query("column_avgs", "SELECT " + ", ".join(f"round(avg({x}), 6) AS {x}" for x in _GRID) + " FROM lineitem")(lambda t: t.lineitem.agg(*[F.round(F.avg(x), 6).alias(x) for x in _GRID]))
 query("count_distinct", "SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem")(lambda t: t.lineitem.agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers")))
-query("describe_table", " UNION ALL ".join(f"SELECT '{x}' AS column_name, '{k}' AS column_type, count(*) AS n_rows, count(*) - count({x}) AS null_count, count(DISTINCT {x}) AS distinct_count, CAST(min({x}) AS VARCHAR) AS min_value, CAST(max({x}) AS VARCHAR) AS max_value FROM part" for x, k in [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int")]))(
-    lambda t: A.describe_table(t.part.drop("p_retailprice"))
+query("describe_table", " UNION ALL ".join(f"SELECT '{x}' AS column_name, '{k}' AS column_type, count(*) AS n_rows, count(*) - count({x}) AS null_count, count(DISTINCT {x}) AS distinct_count, CAST(min({x}) AS VARCHAR) AS min_value, CAST(max({x}) AS VARCHAR) AS max_value FROM part" for x, k in [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double")]))(
+    lambda t: A.describe_table(t.part)
 )
 query("conditional_agg", "SELECT source, count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS n_toxic, count(*) FILTER (WHERE quality = 1) AS n_good FROM documents JOIN labels USING (doc_id) GROUP BY 1")(
     lambda t: t.documents.select("doc_id", "source").join(t.labels, "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.expr("toxic = 1")).alias("n_toxic"), F.count_if(F.expr("quality = 1")).alias("n_good"))
@@ -253,7 +257,9 @@ query("left_join_counts", "SELECT c_custkey, count(o_orderkey) AS n FROM custome
 query("self_join_near_dup", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 500")(
     lambda t: t.supplier.select(c("s_suppkey").alias("a"), "s_nationkey", c("s_acctbal").alias("x")).join(t.supplier.select(c("s_suppkey").alias("b"), "s_nationkey", c("s_acctbal").alias("y")), "s_nationkey").where("a < b and abs(x - y) < 500").select("a", "b")
 )
-query("anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")(lambda t: t.customer.select("c_custkey").join(t.orders, c("c_custkey") == c("o_custkey"), "left_anti"))
+query("anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")(
+    lambda t: t.customer.select("c_custkey").join(t.orders.where("o_orderpriority = '1-URGENT'"), c("c_custkey") == c("o_custkey"), "left_anti")
+)
 query("semi_join_tuple", f"SELECT {LINE_SQL} FROM lineitem WHERE (l_orderkey, l_linenumber) IN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 2)")(
     lambda t: t.lineitem.select(*LINE).join(t.lineitem.groupBy("l_orderkey", "l_linenumber").count().where("count > 2"), ["l_orderkey", "l_linenumber"], "left_semi").select(*LINE)
 )
@@ -283,7 +289,10 @@ query("top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalpric
 for _kind, _table, _key in [("long", "orders", "o_custkey"), ("int", "part", "p_size"), ("double", "part", "p_retailprice"), ("string", "part", "p_name"), ("timestamp", "events", "ts")]:
     query(f"sort_{_kind}", f"SELECT {_key} FROM {_table} ORDER BY 1")(lambda t, x=_table, k=_key: getattr(t, x).select(k).orderBy(k))
 query("sort_float", "SELECT vec_id, embedding[1] AS x FROM embeddings ORDER BY 2, 1")(lambda t: t.embeddings.select("vec_id", c("embedding")[0].alias("x")).orderBy("x", "vec_id"))
-query("sort_u64", "SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders ORDER BY CAST(o_orderkey AS UBIGINT)")(lambda t: t.orders.select(c("o_orderkey").alias("k")).orderBy(c("k").cast("decimal(20,0)")))
+query("sort_u64", "SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders ORDER BY CAST(o_orderkey AS UBIGINT)")(lambda t: t.orders.select(c("o_orderkey").alias("k")).orderBy(*O.unsigned_order(c("k"))))
+query("rank_u64", f"SELECT o_orderkey, CAST(row_number() OVER (ORDER BY {_HIGH_U}) - 1 AS BIGINT) AS rank FROM orders")(
+    lambda t: R.row_index(t.orders.select("o_orderkey", F.expr(_HIGH).alias("k")).withColumn("high", c("k") < 0), "high", ["k"], "rank").select("o_orderkey", "rank")
+)
 query("argsort", "SELECT CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS BIGINT) AS rank, o_orderkey FROM orders")(lambda t: O.argsort(t.orders.select("o_totalprice", "o_orderkey"), "o_totalprice", "o_orderkey"))
 query("sort_pairs", "SELECT o_custkey, o_orderkey FROM orders ORDER BY 1, 2")(lambda t: t.orders.select("o_custkey", "o_orderkey").orderBy("o_custkey", "o_orderkey"))
 
@@ -302,7 +311,7 @@ query("topk_groups", f"SELECT l_suppkey, {money_sql('l_extendedprice')} AS total
 )
 query("union_all", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")(lambda t: t.nation.select(c("n_name").alias("name")).unionAll(t.region.select("r_name")))
 query("intersect", "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")(lambda t: t.customer.select(c("c_custkey").alias("k")).intersect(t.orders.select("o_custkey")))
-query("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")(lambda t: t.customer.select(c("c_custkey").alias("k")).exceptAll(t.orders.select("o_custkey").distinct()))
+query("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000")(lambda t: t.customer.select(c("c_custkey").alias("k")).exceptAll(t.orders.where("o_totalprice > 200000").select("o_custkey").distinct()))
 
 # --- scalar functions -----------------------------------------------------------------------------
 
@@ -328,7 +337,9 @@ query("murmur_finalize", f"WITH a AS (SELECT event_id, {_mix_sql('CAST(event_id
 query("knuth_hash", "SELECT event_id, CAST((CAST(event_id AS UHUGEINT) * 2654435761 % 4294967296) // 4194304 AS BIGINT) AS h FROM events")(lambda t: t.events.select("event_id", S.knuth_hash(c("event_id"), 10).alias("h")))
 query("json_extract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")(lambda t: t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")))
 query("fuzzy_match", "SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), 's.*r.*g')")(lambda t: t.part.where(S.fuzzy_match(c("p_name"), "SRG")).select("p_partkey"))
-query("throughput", "SELECT l_returnflag, round(sum(l_quantity) / count(*), 6) AS per_row FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy("l_returnflag").agg(F.round(F.sum("l_quantity") / F.count("*"), 6).alias("per_row")))
+query("throughput", "SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes, round(sum(strlen(text)) / 6.5e9 * 1000, 9) AS scan_ms FROM documents GROUP BY 1")(
+    lambda t: t.documents.groupBy("source").agg(F.sum(F.octet_length("text")).alias("bytes")).select("source", "bytes", F.round(S.scan_ms(c("bytes")), 9).alias("scan_ms"))
+)
 
 # --- linear algebra --------------------------------------------------------------------------------
 
@@ -351,17 +362,14 @@ def _gemm(t):
     return L.gemm(a, a.withColumnRenamed("i", "j")).select("i", "j", F.round("v", 4).alias("v"))
 
 
-@query("attention", "WITH k AS (SELECT label, min(vec_id) AS id FROM embeddings GROUP BY 1), ks AS (SELECT vec_id AS k_id, embedding::DOUBLE[] AS k FROM embeddings WHERE vec_id IN (SELECT id FROM k)), s AS (SELECT q.vec_id AS q_id, k, exp(list_dot_product(q.embedding::DOUBLE[], k) / sqrt(len(k))) AS w FROM embeddings q CROSS JOIN ks), l AS (SELECT q_id, generate_subscripts(k, 1) - 1 AS d, unnest(k) AS x, w FROM s) SELECT q_id, CAST(d AS INTEGER) AS d, round(sum(w * x) / sum(w), 6) AS y FROM l WHERE d < 4 GROUP BY 1, 2")
-def _attention(t):
-    first = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("k")).select(c("k").cast("array<double>").alias("k"))
-    keys = first.withColumn("v", F.slice("k", 1, 4))
-    return L.attention(t.embeddings.select(c("vec_id").alias("q_id"), c("embedding").cast("array<double>").alias("q")), keys, _dims(t)).select("q_id", "d", F.round("y", 6).alias("y"))
+_ATTENTION = "WITH k AS (SELECT label, min(vec_id) AS id FROM embeddings GROUP BY 1), ks AS (SELECT vec_id AS k_id, embedding::DOUBLE[] AS k FROM embeddings WHERE vec_id IN (SELECT id FROM k)), s AS (SELECT q.vec_id AS q_id, k, exp(list_dot_product(q.embedding::DOUBLE[], k) / sqrt(len(k))) AS w FROM embeddings q CROSS JOIN ks), l AS (SELECT q_id, generate_subscripts(k, 1) - 1 AS d, unnest(k) AS x, w FROM s) SELECT q_id, CAST(d AS INTEGER) AS d, CASE WHEN round(sum(w * x) / sum(w), 6) = 0 THEN 0.0::DOUBLE ELSE round(sum(w * x) / sum(w), 6) END AS y FROM l GROUP BY 1, 2"
 
 
-@query("attention_all", "WITH k AS (SELECT label, min(vec_id) AS id FROM embeddings GROUP BY 1), ks AS (SELECT vec_id AS k_id, embedding::DOUBLE[] AS k FROM embeddings WHERE vec_id IN (SELECT id FROM k)), s AS (SELECT q.vec_id AS q_id, k, exp(list_dot_product(q.embedding::DOUBLE[], k) / sqrt(len(k))) AS w FROM embeddings q CROSS JOIN ks), l AS (SELECT q_id, generate_subscripts(k, 1) - 1 AS d, unnest(k) AS x, w FROM s) SELECT q_id, CAST(d AS INTEGER) AS d, round(sum(w * x) / sum(w), 6) AS y FROM l GROUP BY 1, 2")
+@query("attention", _ATTENTION)
+@query("attention_all", _ATTENTION)
 def _attention_all(t):
     keys = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("k")).select(c("k").cast("array<double>").alias("k"))
-    return L.attention(t.embeddings.select(c("vec_id").alias("q_id"), c("embedding").cast("array<double>").alias("q")), keys.withColumn("v", c("k")), _dims(t)).select("q_id", "d", F.round("y", 6).alias("y"))
+    return L.attention(t.embeddings.select(c("vec_id").alias("q_id"), c("embedding").cast("array<double>").alias("q")), keys.withColumn("v", c("k")), _dims(t)).select("q_id", "d", F.round("y", 6).alias("r")).select("q_id", "d", F.when(c("r") == 0, 0.0).otherwise(c("r")).alias("y"))  # no negative zero
 
 
 # --- text and path search ------------------------------------------------------------------------------
@@ -380,7 +388,7 @@ query("grep_lines", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls
 query("grep_context", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS s FROM l) SELECT doc_id, CAST(n AS BIGINT) AS line_number, s AS line_content, array_to_string(ls[greatest(n - 2, 1):n - 1], '|') AS before, array_to_string(ls[n + 1:n + 2], '|') AS after FROM e WHERE contains(s, 'icensed')")(
     lambda t: X.grep(t.documents, "doc_id", "text", "icensed", 2).select("doc_id", "line_number", "line_content", F.array_join("context_before", "|").alias("before"), F.array_join("context_after", "|").alias("after"))
 )
-query("filename_search", "WITH n AS (SELECT page_id, lower(list_last(string_split(url, '/'))) AS name FROM pages) SELECT page_id, round(100.0 / length(name) + CASE WHEN name = '4' THEN 10 WHEN starts_with(name, '4') THEN 5 ELSE 0 END, 6) AS score FROM n WHERE contains(name, '4')")(
+query("filename_search", "WITH n AS (SELECT page_id, url, lower(list_last(string_split(url, '/'))) AS name FROM pages) SELECT page_id, round(100.0 / strlen(url) + CASE WHEN name = '4' THEN 10 ELSE 0 END + CASE WHEN starts_with(name, '4') THEN 5 ELSE 0 END, 6) AS score FROM n WHERE contains(name, '4')")(
     lambda t: X.search_names(t.pages, "url", "4").select("page_id", F.round("score", 6).alias("score"))
 )
 query("path_search", "SELECT page_id, contains(lower(list_last(string_split(url, '/'))), 'page') AS in_name FROM pages WHERE contains(lower(url), 'page')")(lambda t: X.search_paths(t.pages, "url", "page").select("page_id", "in_name"))
@@ -388,12 +396,14 @@ query("files_by_ext", "SELECT page_id FROM pages WHERE regexp_extract(list_last(
 query("total_size", "SELECT regexp_extract(list_last(string_split(url, '/')), '\\.([^.]*)$', 1) AS ext, count(*) AS n, CAST(sum(strlen(html)) AS BIGINT) AS bytes FROM pages GROUP BY 1")(
     lambda t: t.pages.groupBy(S.extension(c("url")).alias("ext")).agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).cast("long").alias("bytes"))
 )
-query("exclude_paths", "SELECT page_id FROM pages WHERE starts_with(url, 'http://blog.') OR NOT (starts_with(url, 'https://m.') OR list_has_any(string_split(url, '/'), ['es', 'fr']))")(
-    lambda t: X.exclude_paths(t.pages, "url", ["https://m."], ["es", "fr"], ["http://blog."]).select("page_id")
+# 'http' is no prefix of 'http://...', which has no component of that name; one whole path is kept
+query("exclude_paths", "SELECT page_id FROM pages WHERE url = 'https://thther.example.org/en/685' OR NOT (url = 'https:' OR starts_with(url, 'https:/') OR url = 'http' OR starts_with(url, 'http/') OR list_has_any(string_split(url, '/'), ['es', 'fr']))")(
+    lambda t: X.exclude_paths(t.pages, "url", ["https:", "http"], ["es", "fr"], ["https://thther.example.org/en/685"]).select("page_id")
 )
 query("rank_paths", "SELECT page_id, url FROM pages ORDER BY length(url), url, page_id")(lambda t: t.pages.select("page_id", "url").orderBy(F.length("url"), "url", "page_id"))
-query("rank_matches", "SELECT page_id, regexp_matches(html, '\\bthe\\b') AS word_match, round(greatest(0.01, CASE WHEN regexp_matches(html, '\\bthe\\b') THEN 1.0 ELSE 0.5 END - 0.02 * (len(string_split(url, '/')) - 1)), 6)::DOUBLE AS rank_score FROM pages WHERE contains(html, 'the')")(
-    lambda t: X.rank_matches(t.pages, "html", "url", "the").select("page_id", "word_match", "rank_score")
+_WORD = "regexp_matches(substr(s, {at}, 1), '^[A-Za-z0-9_]')"
+query("rank_matches", f"WITH l AS (SELECT page_id, len(string_split(url, '/')) - 1 AS depth, string_split(html, chr(10)) AS ls FROM pages), e AS (SELECT page_id, depth, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS s FROM l), p AS (SELECT page_id, depth, line, s, unnest(range(0, length(s))) AS col FROM e), m AS (SELECT page_id, depth, line, col, NOT (col > 0 AND {_WORD.format(at='col')}) AND NOT {_WORD.format(at='col + 4')} AS w FROM p WHERE substr(s, col + 1, 3) = 'the') SELECT page_id, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS \"column\", w AS word_match, round(greatest(0.01, CASE WHEN w THEN 1.0 ELSE 0.5 END - 0.02 * depth), 6)::DOUBLE AS rank_score FROM m")(
+    lambda t: X.rank_matches(t.pages, "page_id", "html", "url", "the")
 )
 query("matches_per_file", "SELECT source, count(*) AS files, CAST(sum(n) AS BIGINT) AS matches FROM (SELECT source, (length(text) - length(replace(text, 'tion', ''))) // 4 AS n FROM documents WHERE contains(text, 'tion')) GROUP BY 1")(
     lambda t: t.documents.where(c("text").contains("tion")).select("source", X.count_matches(c("text"), "tion", overlapping=False).alias("n")).groupBy("source").agg(F.count("*").alias("files"), F.sum("n").alias("matches"))
@@ -425,7 +435,19 @@ query("cdc_renames", "SELECT CASE WHEN event_type = 'click' THEN unnest(['delete
 query("rescan_diff", "WITH s AS (SELECT c_custkey AS k, c_nationkey AS v FROM customer WHERE c_custkey % 3 <> 0), f AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS v FROM customer WHERE c_custkey % 4 <> 0) SELECT coalesce(s.k, f.k) AS k, CASE WHEN s.k IS NULL THEN 'insert' WHEN f.k IS NULL THEN 'delete' WHEN s.v <> f.v THEN 'update' ELSE 'keep' END AS action FROM s FULL JOIN f ON s.k = f.k")(
     lambda t: T.rescan_diff(t.customer.where("c_custkey % 3 <> 0").select(c("c_custkey").alias("k"), c("c_nationkey").alias("v")), t.customer.where("c_custkey % 4 <> 0").select(c("c_custkey").alias("k"), F.expr("if(c_custkey % 5 = 0, c_nationkey + 1, c_nationkey)").alias("v")), "k", "v")
 )
-query("compact_state", "SELECT event_id, event_type FROM events WHERE event_type <> 'error' ORDER BY 1")(lambda t: T.compact(t.events.select("event_id", "event_type"), "event_type = 'error'", "event_id"))
+query("compact_state", "SELECT event_id, event_type FROM events, (SELECT count(*) FILTER (WHERE event_type = 'error') * 5 > count(*) AS due FROM events) WHERE NOT due OR event_type <> 'error' ORDER BY 1")(lambda t: T.compact(t.events.select("event_id", "event_type"), "event_type = 'error'", "event_id"))
+query("compact_state_due", "SELECT event_id FROM events, (SELECT count(*) FILTER (WHERE event_type <> 'view') * 5 > count(*) AS due FROM events) WHERE NOT due OR event_type = 'view'")(lambda t: T.compact(t.events.select("event_id", "event_type"), "event_type <> 'view'", "event_id").select("event_id"))
+query("debounce", "SELECT event_id FROM (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events) WHERE after IS NULL OR epoch_us(after) - epoch_us(ts) > 3600000000")(
+    lambda t: T.debounce(t.events.select("event_id", "user_id", "ts"), "user_id", "ts", 3_600_000, ("event_id",)).select("event_id")
+)
+_PATHS = "SELECT '/n' || c_nationkey || '/' || c_custkey AS path, {v} AS v FROM customer WHERE c_custkey % {m} <> 0"
+query("rescan_subtree", f"WITH s AS ({_PATHS.format(v='c_nationkey', m=3)}), f AS ({_PATHS.format(v='CASE WHEN c_custkey % 5 = 0 THEN c_nationkey + 1 ELSE c_nationkey END', m=4)}), si AS (SELECT * FROM s WHERE starts_with(path, '/n1/')), fi AS (SELECT * FROM f WHERE starts_with(path, '/n1/')) SELECT coalesce(si.path, fi.path) AS path, CASE WHEN si.path IS NULL THEN 'insert' WHEN fi.path IS NULL THEN 'delete' WHEN si.v <> fi.v THEN 'update' ELSE 'keep' END AS action FROM si FULL JOIN fi ON si.path = fi.path UNION ALL SELECT path, 'keep' FROM s WHERE NOT starts_with(path, '/n1/')")(
+    lambda t: T.rescan_subtree(
+        t.customer.where("c_custkey % 3 <> 0").select(F.expr("'/n' || c_nationkey || '/' || c_custkey").alias("path"), c("c_nationkey").alias("v")),
+        t.customer.where("c_custkey % 4 <> 0").select(F.expr("'/n' || c_nationkey || '/' || c_custkey").alias("path"), F.expr("if(c_custkey % 5 = 0, c_nationkey + 1, c_nationkey)").alias("v")),
+        "path", "v", "/n1",
+    )
+)
 query("needs_compaction", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE event_type = 'error') AS n_deleted, count(*) FILTER (WHERE event_type = 'error') / count(*) > 0.2 AS compact FROM events")(lambda t: T.needs_compaction(t.events, "event_type = 'error'"))
 query("windowed_counts", f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, {money_sql('value')} AS total FROM events GROUP BY 1, 2")(
     lambda t: T.windowed_counts(t.events.withColumn("value", c("value").cast("decimal(18,2)")), "ts", "event_type", "value").select(c("w.start").alias("hour"), "event_type", "n", c("total").cast("double").alias("total"))
@@ -437,25 +459,21 @@ def _cdc_stream(t):
     """The same state as cdc_latest_state, kept by a stream of micro-batches."""
     import uuid
 
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or t.spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{base}/tessera-state-{uuid.uuid4().hex}"
-    source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder) if t.folder.startswith("/") else None
+    folder = f"{shared.folder(t.spark)}/tessera-state-{uuid.uuid4().hex}"
+    source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
     state = T.StateTable(t.spark, folder, "user_id", "event_id", "event_type = 'error'")
-    if source is None:
-        state.merge(t.events.select("user_id", "event_id", "event_type"), 0)
-    else:
-        T.run_stream(source.select("user_id", "event_id", "event_type"), state.merge, f"{folder}/checkpoint")
+    T.run_stream(source.select("user_id", "event_id", "event_type"), state.merge, f"{folder}/checkpoint")
     return state.current().select("user_id", "event_type", "event_id")
 
 
 # --- knowledge base ------------------------------------------------------------------------------------------
 
-query("kb_export", "SELECT source, string_agg(doc_id || ': ' || substring(text, 1, 40), chr(10) ORDER BY doc_id) AS listing FROM documents WHERE doc_id % 10 = 0 GROUP BY 1")(
-    lambda t: t.documents.where("doc_id % 10 = 0").groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.substring("text", 1, 40).alias("s")))), lambda r: F.concat(r["doc_id"].cast("string"), F.lit(": "), r["s"])), "\n").alias("listing"))
-)
-query("kb_export_all", "SELECT source, doc_id // 100 AS chunk, string_agg(doc_id || ': ' || text, chr(10) ORDER BY doc_id) AS listing FROM documents GROUP BY 1, 2")(
-    lambda t: t.documents.groupBy("source", F.expr("doc_id div 100").alias("chunk")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda r: F.concat(r["doc_id"].cast("string"), F.lit(": "), r["text"])), "\n").alias("listing"))
-)
+# every document's whole text, in chunks of ids, so that a hot source is not one row
+_EXPORT = "SELECT source, doc_id // 100 AS chunk, string_agg(doc_id || ': ' || text, chr(10) ORDER BY doc_id) AS listing FROM documents GROUP BY 1, 2"
+for _name in ("kb_export", "kb_export_all"):
+    query(_name, _EXPORT)(
+        lambda t: t.documents.groupBy("source", F.expr("doc_id div 100").alias("chunk")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda r: F.concat(r["doc_id"].cast("string"), F.lit(": "), r["text"])), "\n").alias("listing"))
+    )
 query("kb_unverified", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda t: t.documents.select("doc_id").join(t.labels.select("doc_id"), "doc_id", "left_anti"))
 query("kb_verify_checks", "SELECT 'short' AS check_name, count(*) AS n FROM documents WHERE n_chars < 100 UNION ALL SELECT 'no_label', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'no_text', count(*) FROM documents WHERE text IS NULL OR text = '' UNION ALL SELECT 'length_mismatch', count(*) FROM documents WHERE n_chars <> length(text)")(
     lambda t: t.documents.join(t.labels.select("doc_id", F.lit(1).alias("known")).distinct(), "doc_id", "left")

@@ -70,12 +70,19 @@ def test_global_ranks_and_sums(spark):
         sums[i], total = total, total + k
     assert {r.id: r.prefix for r in ranges.prefix_sum(d, "id", [], "k", ranges=7).collect()} == sums
     assert ranges.row_index(d.limit(0), "k", ["id"]).count() == 0
+    hot = ranges.ranged(d.withColumn("k", F.lit(1)), ["k", "id"], 6).groupBy("_b").count().collect()
+    assert len(hot) == 6 and max(r["count"] for r in hot) < 200
     assert {r["id"]: r["rank"] for r in ordering.argsort(d, "k", "id").collect()} == want
 
 
 def test_asof_lookup(spark):
     look = spark.createDataFrame([(k * 10.0, float(k)) for k in range(1, 30)], "k double, v double")
     ask = spark.createDataFrame([(x, x * 1.7) for x in range(200)], "i int, x double")
+    # a null lookup key answers nothing, a null search finds nothing, a hot search key is dealt out
+    gaps = spark.createDataFrame([(None, 99.0), (2.0, 7.0)], "k double, v double")
+    for n in (1, 3):
+        found = ranges.asof_lookup(spark.createDataFrame([(1, 0.5), (2, None), *[(i, 3.0) for i in range(3, 60)]], "i int, x double"), "x", gaps, "k", "v", ranges=n).collect()
+        assert {r.i: r.found for r in found} == {1: -1.0, 2: -1.0, **{i: 7.0 for i in range(3, 60)}}
     for n in (1, 4, 64):
         for r in ranges.asof_lookup(ask, "x", look, "k", "v", ranges=n).collect():
             assert r.found == (min(29.0, r.x // 10) if r.x >= 10 else -1.0)
@@ -139,8 +146,15 @@ def test_search(spark):
     hit = text.grep(d, "i", "t", "bab", 2).first()
     assert (hit.line_number, hit.line_content, hit.context_before, hit.context_after) == (2, "bab aa", ["aaaa"], ["end"])
     paths = spark.createDataFrame([("/src/main.rs",), ("/main/lib.rs",), ("/target/x",)], "p string")
-    assert [(r.p, r.score) for r in text.search_names(paths, "p", "Main").collect()] == [("/src/main.rs", 100 / 7 + 5)]
-    assert sorted(r.p for r in text.exclude_paths(paths, "p", ["/src"], ["target"], ["/src/main"]).collect()) == ["/main/lib.rs", "/src/main.rs"]
+    assert [(r.p, r.score) for r in text.search_names(paths, "p", "Main").collect()] == [("/src/main.rs", 100 / 12 + 5)]
+    assert text.search_names(paths, "p", "main.rs").first().score == 100 / 12 + 10 + 5
+    more = paths.unionByName(spark.createDataFrame([("/src2/a",), ("/src",), ("/src/keep/b",)], "p string"))
+    left = text.exclude_paths(more, "p", ["/src"], ["target"], ["/src/main.rs", "/src/keep"])
+    assert sorted(r.p for r in left.collect()) == ["/main/lib.rs", "/src/main.rs", "/src2/a"]
+    words = spark.createDataFrame([(1, "/a/b", "the then\nbathe the_ é the"), (2, "/a", "athe the"), (3, "/a", None)], "i int, p string, t string")
+    assert [tuple(r) for r in text.rank_matches(words, "i", "t", "p", "the").collect()] == [
+        (2, 1, 5, True, 0.98), (1, 1, 0, True, 0.96), (1, 2, 13, True, 0.96), (2, 1, 1, False, 0.48), (1, 1, 4, False, 0.46), (1, 2, 2, False, 0.46), (1, 2, 6, False, 0.46)
+    ]
     a, b = (spark.createDataFrame([(x,) for x in xs], "k int") for xs in ([1, 2, 3], [2, 3, 4, 5]))
     assert tuple(text.verify_matches(a, b, ["k"]).first()) == (2, 1, 2)
     ranked = text.bm25(spark.createDataFrame([(1, "cat dog"), (2, "cat cat"), (3, "fish")], "i int, t string"), "i", {"t": 1.0}, ["cat"])
@@ -203,3 +217,117 @@ def test_cli(spark, sales, tmp_path, capsys):
     assert main([str(tmp_path), "-e", "select nothing from nowhere"], spark) == 1
     assert "error" in capsys.readouterr().err
     assert main([str(tmp_path), "-e", "select * from sales", "-o", str(tmp_path / "o.json"), "--format", "json"], spark) == 0
+
+
+def test_cli_commands(spark, tmp_path, capsys):
+    from tessera.cli import Shell, main, statements
+
+    write_text(tmp_path, "sales.csv", "id,amount\n1,50\n2,150\n")
+    assert list(statements(".timer on\nselect ';' a;\nselect 1\n; .x")) == [".timer on", "select ';' a", "select 1", ".x"]
+    shell = Shell(detect.Catalog(spark, str(tmp_path)))
+    run = lambda text: list(shell.run(text))
+    assert run(".format csv") == ["format csv"] and run("select sum(amount) s from sales") == ["s", "200"]
+    assert run(f".save {tmp_path}/out.csv") and (tmp_path / "out.csv").read_text() == "s\n200\n"
+    assert run(".timer on") == ["timer on"] and run(".timer") == ["timer off"] and run(".profile off") == ["profile off"]
+    assert "select sum(amount)" in run(".history")[0] and "rows" in run(".benchmark")[0] and "plain scan" in run(".comparison")[0]
+    write_text(tmp_path, "sales.csv", "id,amount\n1,7\n")
+    assert run(".refresh")[0].endswith("tables") and run("select sum(amount) s from sales") == ["s", "7"]
+    assert ".benchmark" in run(".help")[0] and run(".clear") == [] and run(".quit") == [] and shell.ended
+    for bad in (".format xml", ".save", ".timer maybe", ".nothing"):
+        with pytest.raises(ValueError):
+            run(bad)
+    capsys.readouterr()
+    assert main([str(tmp_path), "--cold", "-e", ".format jsonl\nselect 1 a; select 2 b; .quit\nselect 3"], spark) == 0
+    assert capsys.readouterr().out.splitlines() == ["format jsonl", '{"a": 1}', '{"b": 2}']
+
+
+def test_state_table_goes_on_after_a_restart(spark, tmp_path):
+    rows = lambda *keys: spark.createDataFrame([(k, k, "created") for k in keys], "path long, seq long, kind string")
+    new = lambda: changelog.StateTable(spark, str(tmp_path / "s"), "path", "seq", "kind = 'deleted'")
+    assert new().version == -1
+    new().merge(rows(1, 2), 0)
+    new().merge(rows(3), 0)
+    new().merge(rows(3), 0)
+    assert sorted(r.path for r in new().current().collect()) == [1, 2, 3]
+    assert len([x for x in (tmp_path / "s").iterdir() if x.name.startswith("v")]) == 2
+    gone = spark.createDataFrame([(1, 9, "deleted")], "path long, seq long, kind string")
+    table = new()
+    table.merge(gone)
+    table.compact(0.5)
+    assert spark.read.parquet(f"{tmp_path}/s/v{table.version}").count() == 3
+    table.compact(0.2)
+    assert spark.read.parquet(f"{tmp_path}/s/v{table.version}").count() == 2
+
+
+def test_change_events_and_policies(spark, tmp_path):
+    d = spark.createDataFrame([("must_rescan", "/a"), ("must_rescan", "/a/b"), ("must_rescan", "/ab"), ("history_done", None), ("created", "/c")], "kind string, path string")
+    assert sorted(r.path for r in changelog.rescan_roots(d).collect()) == ["/a", "/ab"]
+    policy = changelog.FlushPolicy()
+    assert [policy.due(*x) for x in ((999, 29.9), (1000, 0), (0, 30))] == [False, True, True] and policy.trigger() == {"processingTime": "30 seconds"}
+    assert [changelog.resume(*x) for x in ((0, 5), (6, 5), (5, 5))] == ["none", "regression", "valid"]
+    with changelog.cancellable(spark, "one") as cancel:
+        assert spark.range(5).count() == 5
+        cancel()
+    assert spark.range(5).count() == 5
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        write_text(tmp_path / "in", f"f{i}.txt", f"x fn y\n{'fn ' * i}")
+    found = []
+    changelog.search_stream(spark, str(tmp_path / "in"), "fn", lambda batch, n: found.extend(batch.collect()), str(tmp_path / "ck"), files=1)
+    assert sorted((r.path[-6:], r.line, r.column) for r in found) == [("f0.txt", 1, 2), ("f1.txt", 1, 2), ("f1.txt", 2, 0), ("f2.txt", 1, 2), ("f2.txt", 2, 0), ("f2.txt", 2, 3)]
+
+
+def test_unsigned_order_and_comparisons(spark):
+    values = [0, 1, 500, (1 << 63) - 1, 1 << 63, (1 << 63) + 7, (1 << 64) - 1]
+    d = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, str(v)) for v in values[::-1]], "x long, name string")
+    assert [r.name for r in d.orderBy(*ordering.unsigned_order(F.col("x"))).collect()] == [str(v) for v in values]
+    import operator
+
+    for op, test in {"=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}.items():
+        for v in values:
+            got = {int(r.name) for r in d.where(predicates.compare_unsigned(F.col("x"), op, v)).collect()}
+            assert got == {x for x in values if test(x, v)}, (op, v)
+
+
+def test_ignore_files(spark, tmp_path):
+    root = tmp_path / "r"
+    for f in ("a.log", "keep.log", "src/b.log", "src/build/x.o", "build/y.o", "src/main.rs", "docs/a/b/c.md", "docs/c.md", "sub/only.txt", "sub/deep/only.txt", "x#y", "sub/deep/z.tmp"):
+        (root / f).parent.mkdir(parents=True, exist_ok=True)
+        (root / f).write_text("text")
+    (root / ".gitignore").write_text("# comment\n*.log\n!keep.log\nbuild/\ndocs/**/c.md\n")
+    (root / "sub" / ".gitignore").write_text("/only.txt\n*.t[a-m]p\n")
+    left = files.drop_ignored(spark, files.walk(spark, str(root)).select("path"), str(root))
+    assert sorted(r.path.split("/r/")[1] for r in left.collect()) == ["keep.log", "src/main.rs", "sub/deep/only.txt", "x#y"]
+
+
+def test_snapshots_and_knowledge(spark, sales, tmp_path):
+    from tessera.operators.knowledge import KnowledgeBase
+    from tessera.sources import shared
+
+    shared.save_snapshot(sales, f"{tmp_path}/snap")
+    assert shared.load_snapshot(spark, f"{tmp_path}/snap").count() == 10
+    sales.limit(1).write.mode("append").parquet(f"{tmp_path}/snap/rows")
+    with pytest.raises(ValueError):
+        shared.load_snapshot(spark, f"{tmp_path}/snap")
+    kb = KnowledgeBase(spark, f"{tmp_path}/kb")
+    kb.insert("skills", name="silicon", layer=0, title="Silicon")
+    first = kb.add("silicon", "Caches", "lines are long", source_type="blog_post", confidence="verified", source_url="http://x")
+    kb.add("silicon", "Caches", "lines are long", source_url="http://x")
+    kb.add("silicon", "Tiles", "a paper", source_type="academic_paper", source_url="http://reddit.com/r")
+    kb.add("silicon", "Speed", "measured", source_type="benchmark")
+    with pytest.raises(ValueError):
+        kb.add("nothing", "x", "y")
+    kb.cite(first, "A. Uthor", "T", "V", 2024)
+    run = kb.log_start("silicon", "Caches")
+    kb.log_end(run, 3, 2, "done")
+    assert [(r.status, r.findings_added) for r in kb.investigations().collect()] == [("completed", 2)]
+    assert [r.topic for r in kb.skill("silicon").collect()] == ["Caches", "Caches", "Speed", "Tiles"]
+    assert kb.topic("cache").count() == 2
+    finding, cites = kb.detail(first)
+    assert (finding.first().skill, cites.first().title) == ("silicon", "T")
+    counts, rows = kb.missing_urls()
+    assert [(r.source_type, r.n) for r in counts.collect()] == [("benchmark", 1)] and rows.first().claim == "measured"
+    assert {r.check_name: r.n for r in kb.verify().collect()} == {
+        "inflated_confidence": 1, "unverified_authors": 1, "near_duplicates": 1, "encyclopedia_as_blog": 0, "forum_miscategorised": 1,
+        "no_url": 0, "no_local_path": 1, "stale_investigations": 0, "uncited_papers": 1,
+    }
