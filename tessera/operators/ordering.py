@@ -24,8 +24,12 @@ def total_order(column: Column) -> list[Column]:
     Spark has one NaN, which sorts last, and treats -0.0 as 0.0; the second key puts the
     negative zero first.
     """
-    negative_zero = (column == 0) & (column.cast("string") == "-0.0")
-    return [column.asc(), F.when(negative_zero, 0).otherwise(1).asc()]
+    return [column.asc(), zero_sign(column).asc()]
+
+
+def zero_sign(column: Column) -> Column:
+    """0 for the negative zero, 1 for every other value."""
+    return F.when((column == 0) & (column.cast("string") == "-0.0"), 0).otherwise(1)
 
 
 def top_groups(df: DataFrame, key: str, value: Column, k: int, name: str = "total") -> DataFrame:

@@ -297,10 +297,10 @@ query("argsort", "SELECT CAST(row_number() OVER (ORDER BY o_totalprice, o_orderk
 query("sort_pairs", "SELECT o_custkey, o_orderkey FROM orders ORDER BY 1, 2")(lambda t: t.orders.select("o_custkey", "o_orderkey").orderBy("o_custkey", "o_orderkey"))
 
 
-@query("sort_float_special")
+@query("sort_float_special", "SELECT id, CAST(row_number() OVER (ORDER BY x, signbit(x) DESC) - 1 AS BIGINT) AS rank FROM (VALUES (0::BIGINT, 1.0::DOUBLE), (1, 'NaN'::DOUBLE), (2, '-0.0'::DOUBLE), (3, 0.0::DOUBLE), (4, '-Infinity'::DOUBLE), (5, -1.0::DOUBLE), (6, 'Infinity'::DOUBLE)) AS v(id, x)")
 def _sort_float_special(t):
     values = t.spark.range(7).select("id", F.expr("element_at(array(1.0D, double('NaN'), -0.0D, 0.0D, double('-Infinity'), -1.0D, double('Infinity')), int(id) + 1)").alias("x"))
-    return values.orderBy(*O.total_order(c("x"))).select("x")
+    return R.row_index(values.withColumn("zero", O.zero_sign(c("x"))), "x", ["zero"], "rank").select("id", "rank")
 
 
 query("pipeline_filter_sort_gather", "SELECT l_orderkey, l_partkey, l_extendedprice FROM lineitem WHERE l_quantity > 45 ORDER BY l_extendedprice, l_orderkey, l_partkey")(
