@@ -24,6 +24,7 @@ ids are ordered by a hash of their texts; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -46,6 +47,8 @@ _M32 = np.int64(0xFFFFFFFF)
 CLASSES = 18  # bit lengths 0 to 17 of an id
 _ONE = 1 << 12  # probabilities of hits
 _FULL = 1 << 15  # distribution of bit lengths
+RATE = 6  # of the mixing weights
+_SPEED = np.array([4, 4, 5])  # shifts by which the three estimates of a hit follow
 
 
 # --- tokenizer ------------------------------------------------------------------------
@@ -133,9 +136,14 @@ class _Encoder(_Coder):
         self.out = np.zeros((lanes, room), dtype=np.uint8)
         self.size = np.zeros(lanes, dtype=np.int64)
 
-    def code(self, at, start, width, shift) -> None:
-        """Narrow lanes ``at`` to [start, start + width) of 1 << shift."""
-        unit = self.range[at] >> shift
+    def bit(self, at, chance, hit) -> np.ndarray:
+        """Code the decisions ``hit`` of lanes ``at``, of probability chance / _ONE."""
+        self.code(at, np.where(hit, 0, chance), np.where(hit, chance, _ONE - chance), _ONE)
+        return hit
+
+    def code(self, at, start, width, total) -> None:
+        """Narrow lanes ``at`` to [start, start + width) of total."""
+        unit = self.range[at] // total
         self.low[at] = (self.low[at] + start * unit) & _M32
         self.range[at] = unit * width
         at = self._ready(at)
@@ -166,12 +174,18 @@ class _Decoder(_Coder):
         for k in range(4):
             self.code_ = self.code_ << 8 | self.data[:, k]
 
-    def peek(self, at, shift) -> np.ndarray:
-        unit = self.range[at] >> shift
-        return np.minimum(((self.code_[at] - self.low[at]) & _M32) // np.maximum(unit, 1), (1 << shift) - 1)
+    def peek(self, at, total) -> np.ndarray:
+        """Where in 0 .. total - 1 the coded point of lanes ``at`` lies."""
+        unit = self.range[at] // total
+        return np.minimum(((self.code_[at] - self.low[at]) & _M32) // np.maximum(unit, 1), total - 1)
+
+    def bit(self, at, chance, hit=None) -> np.ndarray:
+        hit = self.peek(at, _ONE) < chance
+        self.code(at, np.where(hit, 0, chance), np.where(hit, chance, _ONE - chance), _ONE)
+        return hit
 
-    def take(self, at, start, width, shift) -> None:
-        unit = self.range[at] >> shift
+    def code(self, at, start, width, total) -> None:
+        unit = self.range[at] // total
         self.low[at] = (self.low[at] + start * unit) & _M32
         self.range[at] = unit * width
         at = self._ready(at)
@@ -183,36 +197,57 @@ class _Decoder(_Coder):
             at = self._ready(at)
 
 
+def _logistic() -> tuple[np.ndarray, np.ndarray]:
+    """stretch: 256 ln(p / (1 - p)) of p / _ONE; squash: its inverse for -2047 to 2047."""
+    stretch = [round(256 * math.log((p + 0.5) / (_ONE - p - 0.5))) for p in range(_ONE)]
+    squash = [round(_ONE / (1 + math.exp(-x / 256))) for x in range(-2047, 2048)]
+    return np.clip(stretch, -2047, 2047).astype(np.int64), np.clip(squash, 32, _ONE - 32).astype(np.int64)
+
+
+_STRETCH, _SQUASH = _logistic()
+
+
 class _Models:
-    """Order-2, order-1 and order-0 models of every lane."""
+    """Order-2, order-1 and order-0 models of every lane.
 
-    def __init__(self, lanes: int):
-        self.two = np.zeros((lanes, SLOTS), dtype=np.int32)  # id << 2 | confidence
+    Ids are known by their ranks, 1 for the block's first distinct id, 2 for the next.
+    """
+
+    def __init__(self, lanes: int, steps: int):
+        self.two = np.zeros((lanes, SLOTS), dtype=np.int32)  # rank << 2 | confidence
         self.one = np.zeros((lanes, SLOTS), dtype=np.int32)
-        self.by_confidence = np.full((lanes, 2, 16), _ONE // 2, dtype=np.int32)
-        self.by_order = np.full((lanes, 2), _ONE // 2, dtype=np.int32)
+        self.chances = np.full((lanes, 2, 33), _ONE // 2, dtype=np.int32)  # 16 confidences, 16 histories, all
+        self.weights = np.full((lanes, 2, 3), 26_000, dtype=np.int64)  # of 1 << 16
+        self.history = np.zeros((lanes, 2), dtype=np.int64)  # the last four hits
+        top = -(-steps // 256)
+        # how often each rank was coded by order 0: alone, by 16 and by 256
+        self.counts = np.zeros((lanes, top, 16, 16), dtype=np.int32)
+        self.tens = np.zeros((lanes, top, 16), dtype=np.int32)
+        self.tops = np.zeros((lanes, top), dtype=np.int32)
+        self.total = np.zeros(lanes, dtype=np.int64)
+        self.seen = np.zeros(lanes, dtype=np.int64)
+        self.ids = np.zeros((lanes, steps + 1), dtype=np.int32)  # by rank
         self.bits = np.broadcast_to(np.arange(CLASSES + 1) * (_FULL // CLASSES), (lanes, CLASSES + 1)).astype(np.int32)
         self.bits[:, -1] = _FULL
         self.last, self.before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
 
-    def predict(self, at):
-        self.slot2 = (self.last[at] * 40503 + self.before[at] * 30011 + 7) % 65521 & (SLOTS - 1)
-        self.slot1 = (self.last[at] * 25173 + 3) % 65521 & (SLOTS - 1)
-        two, one = self.two[at, self.slot2], self.one[at, self.slot1]
-        self.context = (two & 3) << 2 | (one & 3)
-        return two, one
-
     def chance(self, order, at, context):
-        """Mixed probability of a hit, of ``_ONE``."""
-        mixed = (3 * self.by_confidence[at, order, context] + self.by_order[at, order]) >> 2
-        return np.clip(mixed, 32, _ONE - 32)
-
-    def learn_hit(self, order, at, context, hit):
-        goal = np.where(hit, _ONE, 0)
-        p = self.by_confidence[at, order, context]
-        self.by_confidence[at, order, context] = p + ((goal - p) >> 4)
-        p = self.by_order[at, order]
-        self.by_order[at, order] = p + ((goal - p) >> 5)
+        """Probability of a hit, of ``_ONE``: three estimates, mixed by the lane's weights."""
+        self.cells = np.stack([context, 16 + self.history[at, order], np.full(len(at), 32)], axis=1)
+        self.inputs = _STRETCH[self.chances[at[:, None], order, self.cells]]
+        self.held = self.weights[at, order]
+        dot = (self.inputs * self.held).sum(axis=1) >> 16
+        self.mixed = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
+        return self.mixed
+
+    def learn_hit(self, order, at, hit):
+        """Move the estimates towards the outcome, and the weights against the error."""
+        goal = np.where(hit, _ONE - 1, 0)
+        error = (goal - self.mixed) * RATE
+        self.weights[at, order] = self.held + ((self.inputs * error[:, None]) >> 16)
+        p = self.chances[at[:, None], order, self.cells]
+        self.chances[at[:, None], order, self.cells] = p + ((goal[:, None] - p) >> _SPEED)
+        self.history[at, order] = (self.history[at, order] << 1 & 15) | hit
 
     def learn_bits(self, at, n):
         """Move the distribution of bit lengths towards n; every length keeps a share."""
@@ -221,18 +256,99 @@ class _Models:
         goal = np.where(k[None, :] > n[:, None], _FULL - (CLASSES - k)[None, :], k[None, :])
         self.bits[at] = cdf + ((goal - cdf) >> 5)
 
-    def learn(self, at, two, one, ids):
-        for table, slot, was in ((self.two, self.slot2, two), (self.one, self.slot1, one)):
-            right = (was >> 2) == ids
+    def learn(self, at, slot2, slot1, two, one, ranks):
+        for table, slot, was in ((self.two, slot2, two), (self.one, slot1, one)):
+            right = (was >> 2) == ranks
             sure = was & 3
             keep = right | (sure > 1)
-            table[at, slot] = np.where(keep, (was & ~3) | np.where(right, np.minimum(sure + 1, 3), sure - 1), ids << 2)
+            table[at, slot] = np.where(keep, (was & ~3) | np.where(right, np.minimum(sure + 1, 3), sure - 1), ranks << 2)
         self.before[at] = self.last[at]
-        self.last[at] = ids
-
-
-def _bit_length(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+        self.last[at] = ranks
+
+
+def _step(coder, model, at, ranks, ids) -> np.ndarray:
+    """Code, or decode where ranks and ids are None, the next id of lanes ``at``: its rank."""
+    slot2 = (model.last[at] * 40503 + model.before[at] * 30011 + 7) % 65521 & (SLOTS - 1)
+    slot1 = model.last[at] & (SLOTS - 1)
+    two, one = model.two[at, slot2], model.one[at, slot1]
+    context = (two & 3) << 2 | (one & 3)
+    guess2, guess1 = two >> 2, one >> 2
+    got = np.zeros(len(at), dtype=np.int64)
+    for order, guess in enumerate((guess2, guess1)):
+        ask = np.flatnonzero((guess > 0) & ((got == 0) & (guess1 != guess2) if order else True))
+        if len(ask):
+            lanes, guess = at[ask], guess[ask]
+            p = model.chance(order, lanes, context[ask])
+            hit = coder.bit(lanes, p, None if ranks is None else ranks[ask] == guess)
+            model.learn_hit(order, lanes, hit)
+            got[ask[hit]] = guess[hit]
+    rest = np.flatnonzero(got == 0)
+    if len(rest):
+        got[rest] = _order_0(coder, model, at[rest], *([None, None] if ranks is None else [ranks[rest], ids[rest]]))
+    model.learn(at, slot2, slot1, two, one, got)
+    return got
+
+
+def _order_0(coder, model, at, ranks, ids) -> np.ndarray:
+    """A known rank by its count, or the escape to an id that the block has not had."""
+    row, seen, total = np.arange(len(at)), model.seen[at], model.total[at]
+    escape = np.maximum(seen, 1)
+    if ranks is None:
+        spot = coder.peek(at, total + escape)
+        new = spot >= total
+    else:
+        new = ranks > seen
+        place = np.where(new, 0, ranks - 1)
+    found, start = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+    used = int(seen.max()) // 256 + 1
+    for level, part in enumerate((model.tops[at, :used], model.tens, model.counts)):
+        if level:
+            part = part[at, found] if level == 1 else part[at, found >> 4, found & 15]
+        upto = part.cumsum(axis=1)
+        if ranks is None:
+            digit = np.where(new, 0, (upto <= (spot - start)[:, None]).sum(axis=1))
+        else:
+            digit = place >> 8 if level == 0 else place >> (8 - 4 * level) & 15
+        width = part[row, digit]
+        start += upto[row, digit] - width
+        found = found * (16 if level else 1) + digit
+    coder.code(at, np.where(new, total, start), np.where(new, escape, width), total + escape)
+    k = np.flatnonzero(new)
+    if len(k):
+        found[k] = seen[k]
+        model.seen[at[k]] += 1
+        model.ids[at[k], found[k] + 1] = _new_id(coder, model, at[k], None if ids is None else ids[k])
+    for counts, where in ((model.counts, (found >> 8, found >> 4 & 15, found & 15)), (model.tens, (found >> 8, found >> 4 & 15)), (model.tops, (found >> 8,))):
+        counts[(at, *where)] += 1
+    model.total[at] += 1
+    return found + 1
+
+
+def _new_id(coder, model, at, ids) -> np.ndarray:
+    """The bit length by its adaptive distribution, then the bits below the leading one."""
+    if ids is None:
+        n = (model.bits[at, 1:] <= coder.peek(at, _FULL)[:, None]).sum(axis=1)
+    else:
+        n = np.frexp(ids.astype(np.float64))[1].astype(np.int64)
+    start = model.bits[at, n].astype(np.int64)
+    coder.code(at, start, model.bits[at, n + 1] - start, _FULL)
+    model.learn_bits(at, n)
+    free = np.maximum(n - 1, 0)
+    tail, one = np.zeros(len(at), dtype=np.int64), np.ones(len(at), dtype=np.int64)
+    # the upper half of the bits, then the lower half
+    for size, shift in ((free - free // 2, free // 2), (free // 2, 0)):
+        bits = coder.peek(at, one << size) if ids is None else ids >> shift & ((one << size) - 1)
+        coder.code(at, bits, one, one << size)
+        tail |= bits << shift
+    return np.where(n > 0, (one << free) | tail, 0)
+
+
+def _ranks(ids: np.ndarray) -> np.ndarray:
+    """For every id the rank, from 1, at which it first came up."""
+    _, first, of = np.unique(ids, return_index=True, return_inverse=True)
+    rank = np.empty(len(first), dtype=np.int64)
+    rank[np.argsort(first)] = np.arange(1, len(first) + 1)
+    return rank[of]
 
 
 def compress(blocks: list[np.ndarray]) -> list[bytes]:
@@ -243,17 +359,14 @@ def compress(blocks: list[np.ndarray]) -> list[bytes]:
         size = np.array([len(b) for b in part])
         order = np.argsort(-size, kind="stable")
         lanes, steps = len(part), int(size.max(initial=0))
-        ids = np.zeros((steps, lanes), dtype=np.int64)
+        ids, ranks = np.zeros((2, steps, lanes), dtype=np.int64)
         for k, b in enumerate(order):
-            ids[: size[b], k] = part[b]
+            ids[: size[b], k], ranks[: size[b], k] = part[b], _ranks(part[b])
         size = size[order]
-        coder, model = _Encoder(lanes, steps * 5 + 16), _Models(lanes)
+        coder, model = _Encoder(lanes, steps * 6 + 16), _Models(lanes, steps)
         for t in range(steps):
             at = np.arange(int(np.searchsorted(-size, -t, side="left")))
-            x = ids[t, at]
-            two, one = model.predict(at)
-            _code_id(coder, model, at, x, two, one)
-            model.learn(at, two, one, x)
+            _step(coder, model, at, ranks[t, at], ids[t, at])
         done = coder.finish()
         back: list[bytes] = [b""] * lanes
         for k, b in enumerate(order):
@@ -262,34 +375,6 @@ def compress(blocks: list[np.ndarray]) -> list[bytes]:
     return out
 
 
-def _code_id(coder, model, at, x, two, one):
-    hit = (two >> 2) == x
-    p = model.chance(0, at, model.context)
-    coder.code(at, np.where(hit, 0, p), np.where(hit, p, _ONE - p), 12)
-    model.learn_hit(0, at, model.context, hit)
-    rest = np.flatnonzero(~hit & ((one >> 2) != (two >> 2)))
-    if len(rest):
-        lanes, context = at[rest], model.context[rest]
-        hit1 = (one[rest] >> 2) == x[rest]
-        p = model.chance(1, lanes, context)
-        coder.code(lanes, np.where(hit1, 0, p), np.where(hit1, p, _ONE - p), 12)
-        model.learn_hit(1, lanes, context, hit1)
-        hit[rest[hit1]] = True
-    rest = np.flatnonzero(~hit)
-    if len(rest):
-        lanes, value = at[rest], x[rest]
-        n = _bit_length(value)
-        start = model.bits[lanes, n].astype(np.int64)
-        coder.code(lanes, start, model.bits[lanes, n + 1] - start, 15)
-        model.learn_bits(lanes, n)
-        # below the leading bit: the upper half, then the lower half of the other bits
-        free = np.maximum(n - 1, 0)
-        tail = value & ((1 << free) - 1)
-        low = free // 2
-        coder.code(lanes, tail >> low, np.ones(len(lanes), dtype=np.int64), free - low)
-        coder.code(lanes, tail & ((1 << low) - 1), np.ones(len(lanes), dtype=np.int64), low)
-
-
 def decompress(payloads: list[bytes], sizes: list[int], checksums: list[int] | None = None) -> list[np.ndarray]:
     """The ids of each block; a wrong checksum raises ValueError."""
     out: list[np.ndarray] = []
@@ -297,18 +382,15 @@ def decompress(payloads: list[bytes], sizes: list[int], checksums: list[int] | N
         size = np.array(sizes[lo : lo + LANES])
         order = np.argsort(-size, kind="stable")
         steps, lanes = int(size.max(initial=0)), len(size)
-        coder, model = _Decoder([payloads[lo + k] for k in order]), _Models(lanes)
+        coder, model = _Decoder([payloads[lo + k] for k in order]), _Models(lanes, steps)
         size = size[order]
-        ids = np.zeros((steps, lanes), dtype=np.int64)
+        ranks = np.zeros((steps, lanes), dtype=np.int64)
         for t in range(steps):
             at = np.arange(int(np.searchsorted(-size, -t, side="left")))
-            two, one = model.predict(at)
-            x = _decode_id(coder, model, at, two, one)
-            model.learn(at, two, one, x)
-            ids[t, at] = x
+            ranks[t, at] = _step(coder, model, at, None, None)
         back: list[np.ndarray] = [np.zeros(0)] * lanes
         for k, b in enumerate(order):
-            back[b] = ids[: size[k], k].astype("<u4")
+            back[b] = model.ids[k, ranks[: size[k], k]].astype("<u4")
         out += back
     if checksums is not None:
         for k, (b, want) in enumerate(zip(out, checksums, strict=True)):
@@ -317,48 +399,6 @@ def decompress(payloads: list[bytes], sizes: list[int], checksums: list[int] | N
     return out
 
 
-def _decode_id(coder, model, at, two, one):
-    p = model.chance(0, at, model.context)
-    hit = coder.peek(at, 12) < p
-    coder.take(at, np.where(hit, 0, p), np.where(hit, p, _ONE - p), 12)
-    model.learn_hit(0, at, model.context, hit)
-    x = np.where(hit, two >> 2, -1).astype(np.int64)
-    rest = np.flatnonzero(~hit & ((one >> 2) != (two >> 2)))
-    if len(rest):
-        lanes, context = at[rest], model.context[rest]
-        p = model.chance(1, lanes, context)
-        hit1 = coder.peek(lanes, 12) < p
-        coder.take(lanes, np.where(hit1, 0, p), np.where(hit1, p, _ONE - p), 12)
-        model.learn_hit(1, lanes, context, hit1)
-        x[rest[hit1]] = one[rest[hit1]] >> 2
-    rest = np.flatnonzero(x < 0)
-    if len(rest):
-        lanes = at[rest]
-        spot = coder.peek(lanes, 15)
-        n = (model.bits[lanes, 1:] <= spot[:, None]).sum(axis=1)
-        start = model.bits[lanes, n].astype(np.int64)
-        coder.take(lanes, start, model.bits[lanes, n + 1] - start, 15)
-        model.learn_bits(lanes, n)
-        free = np.maximum(n - 1, 0)
-        low = free // 2
-        one_each = np.ones(len(lanes), dtype=np.int64)
-        high = coder.peek_each(lanes, free - low)
-        coder.take(lanes, high, one_each, free - low)
-        tail = coder.peek_each(lanes, low)
-        coder.take(lanes, tail, one_each, low)
-        x[rest] = np.where(n > 0, (np.int64(1) << free) | high << low | tail, 0)
-    return x
-
-
-def _peek_each(self, at, shift):
-    """peek with a shift for each lane."""
-    unit = self.range[at] >> shift
-    return np.minimum(((self.code_[at] - self.low[at]) & _M32) // np.maximum(unit, 1), (np.int64(1) << shift) - 1)
-
-
-_Decoder.peek_each = _peek_each
-
-
 # --- tables ------------------------------------------------------------------------------
 
 
