@@ -6,10 +6,13 @@ are cut into blocks of ``BLOCK`` ids. Each block is coded on its own, with all m
 reset, and carries a CRC-32 of its ids, so a damaged block is found and spoils no other.
 
 Coding an id: an order-2 and an order-1 model predict it (the id that followed last in
-the same context, with a confidence). Their hits are coded as binary decisions, whose
-probability mixes an estimate for the confidences of both models with the block's own hit
-rate. An id that neither predicts goes to the order-0 model: an adaptive distribution of
-its bit length, then its lower bits. All decisions drive one 32-bit range coder.
+the same context, with a confidence). Their hits are coded as binary decisions. Three
+estimates of a hit (by the confidences of both models, by the last four outcomes, and of
+all) are mixed in the logistic domain by weights that follow the coding error. An id that
+neither predicts goes to the order-0 model, which counts the ids it has coded; an escape
+announces one that the block has not had, by an adaptive distribution of its bit length
+and its lower bits. All decisions drive one 32-bit range coder, in integers only, so every
+machine decodes what any other has coded.
 
 Blocks are coded side by side in numpy, one lane for each block, step by step.
 
@@ -48,7 +51,7 @@ CLASSES = 18  # bit lengths 0 to 17 of an id
 _ONE = 1 << 12  # probabilities of hits
 _FULL = 1 << 15  # distribution of bit lengths
 RATE = 6  # of the mixing weights
-_SPEED = np.array([4, 4, 5])  # shifts by which the three estimates of a hit follow
+_SPEED = np.array([[4], [4], [5]], dtype=np.int16)  # shifts by which the three estimates of a hit follow
 
 
 # --- tokenizer ------------------------------------------------------------------------
@@ -118,16 +121,29 @@ class _Coder:
         self.low = np.zeros(lanes, dtype=np.int64)
         self.range = np.full(lanes, 0xFFFFFFFF, dtype=np.int64)
 
-    def _ready(self, at: np.ndarray) -> np.ndarray:
-        """Lanes (of ``at``) whose top byte is settled; a range that straddles is cut short."""
-        low, size = self.low[at], self.range[at]
-        settled = (low ^ ((low + size) & _M32)) < _TOP
+    def unit(self, at, total) -> np.ndarray:
+        size = self.range.take(at)
+        return size >> (total.bit_length() - 1) if isinstance(total, int) else size // total
+
+    def code(self, at, start, width, total) -> None:
+        """Narrow lanes ``at`` to [start, start + width) of total (if an int, a power of 2).
+
+        Bytes move while the top one is settled; a range that straddles is cut short.
+        """
+        unit = self.unit(at, total)
+        low, size = (self.low.take(at) + start * unit) & _M32, unit * width
         # the interval may wrap: compare as the coder does, modulo 2**32
-        small = ~settled & (size < _BOT)
-        if small.any():
-            cut = at[small]
-            self.range[cut] = (-self.low[cut]) & (_BOT - 1)
-        return at[settled | small]
+        k = np.flatnonzero(((low ^ ((low + size) & _M32)) < _TOP) | (size < _BOT))
+        while len(k):
+            floor, room = low[k], size[k]
+            cut = (room < _BOT) & ((floor ^ ((floor + room) & _M32)) >= _TOP)
+            if cut.any():
+                room = np.where(cut, -floor & (_BOT - 1), room)
+            self.move(at[k], floor)
+            low[k] = floor = (floor << 8) & _M32
+            size[k] = room = (room << 8) & _M32
+            k = k[((floor ^ ((floor + room) & _M32)) < _TOP) | (room < _BOT)]
+        self.low[at], self.range[at] = low, size
 
 
 class _Encoder(_Coder):
@@ -136,24 +152,15 @@ class _Encoder(_Coder):
         self.out = np.zeros((lanes, room), dtype=np.uint8)
         self.size = np.zeros(lanes, dtype=np.int64)
 
+    def move(self, at, low) -> None:
+        self.out[at, self.size[at]] = low >> 24
+        self.size[at] += 1
+
     def bit(self, at, chance, hit) -> np.ndarray:
         """Code the decisions ``hit`` of lanes ``at``, of probability chance / _ONE."""
         self.code(at, np.where(hit, 0, chance), np.where(hit, chance, _ONE - chance), _ONE)
         return hit
 
-    def code(self, at, start, width, total) -> None:
-        """Narrow lanes ``at`` to [start, start + width) of total."""
-        unit = self.range[at] // total
-        self.low[at] = (self.low[at] + start * unit) & _M32
-        self.range[at] = unit * width
-        at = self._ready(at)
-        while len(at):
-            self.out[at, self.size[at]] = self.low[at] >> 24
-            self.size[at] += 1
-            self.low[at] = (self.low[at] << 8) & _M32
-            self.range[at] = (self.range[at] << 8) & _M32
-            at = self._ready(at)
-
     def finish(self) -> list[bytes]:
         at = np.arange(len(self.low))
         for _ in range(4):
@@ -174,56 +181,49 @@ class _Decoder(_Coder):
         for k in range(4):
             self.code_ = self.code_ << 8 | self.data[:, k]
 
+    def move(self, at, low) -> None:
+        self.code_[at] = (self.code_[at] << 8 & _M32) | self.data[at, np.minimum(self.at[at], self.data.shape[1] - 1)]
+        self.at[at] += 1
+
     def peek(self, at, total) -> np.ndarray:
         """Where in 0 .. total - 1 the coded point of lanes ``at`` lies."""
-        unit = self.range[at] // total
-        return np.minimum(((self.code_[at] - self.low[at]) & _M32) // np.maximum(unit, 1), total - 1)
+        unit = np.maximum(self.unit(at, total), 1)
+        return np.minimum(((self.code_.take(at) - self.low.take(at)) & _M32) // unit, total - 1)
 
     def bit(self, at, chance, hit=None) -> np.ndarray:
-        hit = self.peek(at, _ONE) < chance
+        hit = ((self.code_.take(at) - self.low.take(at)) & _M32) < chance * self.unit(at, _ONE)
         self.code(at, np.where(hit, 0, chance), np.where(hit, chance, _ONE - chance), _ONE)
         return hit
 
-    def code(self, at, start, width, total) -> None:
-        unit = self.range[at] // total
-        self.low[at] = (self.low[at] + start * unit) & _M32
-        self.range[at] = unit * width
-        at = self._ready(at)
-        while len(at):
-            self.code_[at] = (self.code_[at] << 8 & _M32) | self.data[at, np.minimum(self.at[at], self.data.shape[1] - 1)]
-            self.at[at] += 1
-            self.low[at] = (self.low[at] << 8) & _M32
-            self.range[at] = (self.range[at] << 8) & _M32
-            at = self._ready(at)
-
 
 def _logistic() -> tuple[np.ndarray, np.ndarray]:
     """stretch: 256 ln(p / (1 - p)) of p / _ONE; squash: its inverse for -2047 to 2047."""
     stretch = [round(256 * math.log((p + 0.5) / (_ONE - p - 0.5))) for p in range(_ONE)]
     squash = [round(_ONE / (1 + math.exp(-x / 256))) for x in range(-2047, 2048)]
-    return np.clip(stretch, -2047, 2047).astype(np.int64), np.clip(squash, 32, _ONE - 32).astype(np.int64)
+    return np.clip(stretch, -2047, 2047), np.clip(squash, 32, _ONE - 32)
 
 
 _STRETCH, _SQUASH = _logistic()
 
 
 class _Models:
-    """Order-2, order-1 and order-0 models of every lane.
+    """Order-2, order-1 and order-0 models of every lane, in flat arrays.
 
     Ids are known by their ranks, 1 for the block's first distinct id, 2 for the next.
     """
 
     def __init__(self, lanes: int, steps: int):
-        self.two = np.zeros((lanes, SLOTS), dtype=np.int32)  # rank << 2 | confidence
-        self.one = np.zeros((lanes, SLOTS), dtype=np.int32)
-        self.chances = np.full((lanes, 2, 33), _ONE // 2, dtype=np.int32)  # 16 confidences, 16 histories, all
-        self.weights = np.full((lanes, 2, 3), 26_000, dtype=np.int64)  # of 1 << 16
-        self.history = np.zeros((lanes, 2), dtype=np.int64)  # the last four hits
-        top = -(-steps // 256)
-        # how often each rank was coded by order 0: alone, by 16 and by 256
-        self.counts = np.zeros((lanes, top, 16, 16), dtype=np.int32)
-        self.tens = np.zeros((lanes, top, 16), dtype=np.int32)
-        self.tops = np.zeros((lanes, top), dtype=np.int32)
+        self.two = np.zeros(lanes * SLOTS, dtype=np.uint16)  # rank << 2 | confidence
+        self.one = np.zeros(lanes * SLOTS, dtype=np.uint16)
+        # by order and lane: hits at 16 confidences, after 16 histories, and at all
+        self.chances = np.full(2 * lanes * 33, _ONE // 2, dtype=np.int16)
+        self.weights = np.full((2, 3, lanes), 26_000, dtype=np.int64)  # of 1 << 16
+        self.history = np.zeros((2, lanes), dtype=np.int64)  # the last four hits
+        self.lanes, self.top = lanes, -(-steps // 256)
+        # how often each rank was coded by order 0: by 256, by 16 and alone
+        self.tops = np.zeros((lanes, self.top), dtype=np.uint16)
+        self.tens = np.zeros((lanes * self.top, 16), dtype=np.uint16)
+        self.counts = np.zeros((lanes * self.top * 16, 16), dtype=np.uint16)
         self.total = np.zeros(lanes, dtype=np.int64)
         self.seen = np.zeros(lanes, dtype=np.int64)
         self.ids = np.zeros((lanes, steps + 1), dtype=np.int32)  # by rank
@@ -233,44 +233,52 @@ class _Models:
 
     def chance(self, order, at, context):
         """Probability of a hit, of ``_ONE``: three estimates, mixed by the lane's weights."""
-        self.cells = np.stack([context, 16 + self.history[at, order], np.full(len(at), 32)], axis=1)
-        self.inputs = _STRETCH[self.chances[at[:, None], order, self.cells]]
-        self.held = self.weights[at, order]
-        dot = (self.inputs * self.held).sum(axis=1) >> 16
-        self.mixed = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
+        self.cells = np.empty((3, len(at)), dtype=np.int64)
+        self.cells[2] = (at + order * self.lanes) * 33
+        np.add(self.cells[2], context, out=self.cells[0])
+        np.add(self.cells[2], self.history[order].take(at) + 16, out=self.cells[1])
+        self.cells[2] += 32
+        self.estimates = self.chances.take(self.cells)
+        self.inputs = _STRETCH.take(self.estimates)
+        self.held = self.weights[order].take(at, axis=1)
+        dot = (self.inputs * self.held).sum(axis=0) >> 16
+        self.mixed = _SQUASH.take(dot + 2047, mode="clip")
         return self.mixed
 
     def learn_hit(self, order, at, hit):
         """Move the estimates towards the outcome, and the weights against the error."""
-        goal = np.where(hit, _ONE - 1, 0)
+        goal = np.where(hit, np.int16(_ONE - 1), np.int16(0))
         error = (goal - self.mixed) * RATE
-        self.weights[at, order] = self.held + ((self.inputs * error[:, None]) >> 16)
-        p = self.chances[at[:, None], order, self.cells]
-        self.chances[at[:, None], order, self.cells] = p + ((goal[:, None] - p) >> _SPEED)
-        self.history[at, order] = (self.history[at, order] << 1 & 15) | hit
+        self.weights[order][:, at] = self.held + ((self.inputs * error) >> 16)
+        self.chances[self.cells] = self.estimates + ((goal - self.estimates) >> _SPEED)
+        self.history[order][at] = (self.history[order].take(at) << 1 & 15) | hit
 
     def learn_bits(self, at, n):
         """Move the distribution of bit lengths towards n; every length keeps a share."""
-        cdf = self.bits[at]
-        k = np.arange(CLASSES + 1)
-        goal = np.where(k[None, :] > n[:, None], _FULL - (CLASSES - k)[None, :], k[None, :])
-        self.bits[at] = cdf + ((goal - cdf) >> 5)
+        cdf = self.bits.take(at, axis=0)
+        self.bits[at] = cdf + ((_GOALS.take(n, axis=0) - cdf) >> 5)
 
-    def learn(self, at, slot2, slot1, two, one, ranks):
+    def learn(self, slot2, slot1, two, one, ranks):
         for table, slot, was in ((self.two, slot2, two), (self.one, slot1, one)):
             right = (was >> 2) == ranks
             sure = was & 3
             keep = right | (sure > 1)
-            table[at, slot] = np.where(keep, (was & ~3) | np.where(right, np.minimum(sure + 1, 3), sure - 1), ranks << 2)
-        self.before[at] = self.last[at]
-        self.last[at] = ranks
+            table[slot] = np.where(keep, (was & ~3) | np.where(right, np.minimum(sure + 1, 3), sure - 1), ranks << 2)
+        n = len(ranks)
+        self.before[:n] = self.last[:n]
+        self.last[:n] = ranks
+
+
+# what learn_bits moves to at each bit length
+_GOALS = np.array([[_FULL - (CLASSES - k) if k > n else k for k in range(CLASSES + 1)] for n in range(CLASSES)], dtype=np.int32)
 
 
 def _step(coder, model, at, ranks, ids) -> np.ndarray:
-    """Code, or decode where ranks and ids are None, the next id of lanes ``at``: its rank."""
-    slot2 = (model.last[at] * 40503 + model.before[at] * 30011 + 7) % 65521 & (SLOTS - 1)
-    slot1 = model.last[at] & (SLOTS - 1)
-    two, one = model.two[at, slot2], model.one[at, slot1]
+    """Code, or decode where ranks and ids are None, the next id of the first lanes ``at``: its rank."""
+    last, base = model.last[: len(at)], at * SLOTS
+    slot2 = base + ((last * 40503 + model.before[: len(at)] * 30011 + 7) % 65521 & (SLOTS - 1))
+    slot1 = base + (last & (SLOTS - 1))
+    two, one = model.two.take(slot2).astype(np.int64), model.one.take(slot1).astype(np.int64)
     context = (two & 3) << 2 | (one & 3)
     guess2, guess1 = two >> 2, one >> 2
     got = np.zeros(len(at), dtype=np.int64)
@@ -281,17 +289,17 @@ def _step(coder, model, at, ranks, ids) -> np.ndarray:
             p = model.chance(order, lanes, context[ask])
             hit = coder.bit(lanes, p, None if ranks is None else ranks[ask] == guess)
             model.learn_hit(order, lanes, hit)
-            got[ask[hit]] = guess[hit]
+            got[ask] = np.where(hit, guess, 0)
     rest = np.flatnonzero(got == 0)
     if len(rest):
         got[rest] = _order_0(coder, model, at[rest], *([None, None] if ranks is None else [ranks[rest], ids[rest]]))
-    model.learn(at, slot2, slot1, two, one, got)
+    model.learn(slot2, slot1, two, one, got)
     return got
 
 
 def _order_0(coder, model, at, ranks, ids) -> np.ndarray:
     """A known rank by its count, or the escape to an id that the block has not had."""
-    row, seen, total = np.arange(len(at)), model.seen[at], model.total[at]
+    row, seen, total = np.arange(len(at)), model.seen.take(at), model.total.take(at)
     escape = np.maximum(seen, 1)
     if ranks is None:
         spot = coder.peek(at, total + escape)
@@ -299,28 +307,29 @@ def _order_0(coder, model, at, ranks, ids) -> np.ndarray:
     else:
         new = ranks > seen
         place = np.where(new, 0, ranks - 1)
-    found, start = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
-    used = int(seen.max()) // 256 + 1
-    for level, part in enumerate((model.tops[at, :used], model.tens, model.counts)):
-        if level:
-            part = part[at, found] if level == 1 else part[at, found >> 4, found & 15]
-        upto = part.cumsum(axis=1)
+    start, used = np.zeros(len(at), dtype=np.int64), int(seen.max()) // 256 + 1
+    found = at * model.top
+    for level, counts in enumerate((model.tops, model.tens, model.counts)):
+        part = counts.take(found, axis=0) if level else counts[at, :used]
+        upto = part.cumsum(axis=1, dtype=np.int32)
         if ranks is None:
             digit = np.where(new, 0, (upto <= (spot - start)[:, None]).sum(axis=1))
         else:
-            digit = place >> 8 if level == 0 else place >> (8 - 4 * level) & 15
-        width = part[row, digit]
+            digit = place >> (8 - 4 * level) & (15 if level else -1)
+        width = part[row, digit].astype(np.int64)
         start += upto[row, digit] - width
-        found = found * (16 if level else 1) + digit
+        found = found * 16 + digit if level else found + digit
     coder.code(at, np.where(new, total, start), np.where(new, escape, width), total + escape)
+    found -= at * (model.top * 256)
     k = np.flatnonzero(new)
     if len(k):
-        found[k] = seen[k]
-        model.seen[at[k]] += 1
-        model.ids[at[k], found[k] + 1] = _new_id(coder, model, at[k], None if ids is None else ids[k])
-    for counts, where in ((model.counts, (found >> 8, found >> 4 & 15, found & 15)), (model.tens, (found >> 8, found >> 4 & 15)), (model.tops, (found >> 8,))):
-        counts[(at, *where)] += 1
-    model.total[at] += 1
+        lanes, place = at[k], seen[k]
+        found[k] = place
+        model.seen[lanes] = place + 1
+        model.ids[lanes, place + 1] = _new_id(coder, model, lanes, None if ids is None else ids[k])
+    for level, counts in enumerate((model.tops, model.tens, model.counts)):
+        counts.reshape(-1)[at * (model.top * 16**level) + (found >> (8 - 4 * level))] += 1
+    model.total[at] = total + 1
     return found + 1
 
 
@@ -333,14 +342,11 @@ def _new_id(coder, model, at, ids) -> np.ndarray:
     start = model.bits[at, n].astype(np.int64)
     coder.code(at, start, model.bits[at, n + 1] - start, _FULL)
     model.learn_bits(at, n)
-    free = np.maximum(n - 1, 0)
-    tail, one = np.zeros(len(at), dtype=np.int64), np.ones(len(at), dtype=np.int64)
-    # the upper half of the bits, then the lower half
-    for size, shift in ((free - free // 2, free // 2), (free // 2, 0)):
-        bits = coder.peek(at, one << size) if ids is None else ids >> shift & ((one << size) - 1)
-        coder.code(at, bits, one, one << size)
-        tail |= bits << shift
-    return np.where(n > 0, (one << free) | tail, 0)
+    one = np.ones(len(at), dtype=np.int64)
+    total = one << np.maximum(n - 1, 0)  # 2**16 at most, as large as the smallest range
+    tail = coder.peek(at, total) if ids is None else ids & (total - 1)
+    coder.code(at, tail, one, total)
+    return np.where(n > 0, total | tail, 0)
 
 
 def _ranks(ids: np.ndarray) -> np.ndarray:
@@ -352,8 +358,10 @@ def _ranks(ids: np.ndarray) -> np.ndarray:
 
 
 def compress(blocks: list[np.ndarray]) -> list[bytes]:
-    """Code each block of ids (below 2**17) on its own."""
+    """Code each block of ids (below 2**17, at most 2**14 - 1 in a block) on its own."""
     out: list[bytes] = []
+    if max(map(len, blocks), default=0) >= 1 << 14:
+        raise ValueError("a block has 2**14 ids or more")
     for lo in range(0, len(blocks), LANES):
         part = blocks[lo : lo + LANES]
         size = np.array([len(b) for b in part])
