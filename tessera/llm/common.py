@@ -7,9 +7,11 @@ rows at a time, so no Python object is made per word.
 from __future__ import annotations
 
 import gc
+import pickle
 import tempfile
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -181,6 +183,22 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
 
 
+def on_one_worker(rows: DataFrame, learn: Callable[[pa.Table], Any]) -> Any:
+    """What ``learn`` makes of all rows, in one worker: training takes no memory of the driver.
+
+    For samples of a bounded number of rows; None if there is no row.
+    """
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield pa.RecordBatch.from_pydict({"found": pa.array([pickle.dumps(learn(pa.Table.from_batches(held)))], pa.binary())})
+
+    found = rows.repartition(1).mapInArrow(run, "found binary").collect()
+    return pickle.loads(found[0].found) if found else None
+
+
 class Stash:
     """A table written as Parquet to the shared folder, so that it is computed once.
 

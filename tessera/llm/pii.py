@@ -421,9 +421,12 @@ def fit(docs: DataFrame, sample: int = 3000, excerpts: int = 20) -> Tagger | Non
         base.join(F.broadcast(picked), ["doc_id", "hash"])  # at most ``sample`` pairs
         .dropDuplicates(["doc_id", "hash"])
         .mapInArrow(_example_rows(excerpts), "doc_id long, hash long, lo long, text string, spans string")
-        .toArrow()
-        .sort_by([("doc_id", "ascending"), ("hash", "ascending"), ("lo", "ascending")])
     )
+    return C.on_one_worker(rows, _learn)
+
+
+def _learn(rows: pa.Table) -> Tagger | None:
+    rows = rows.sort_by([("doc_id", "ascending"), ("hash", "ascending"), ("lo", "ascending")])
     examples = []
     for text, spans in zip(rows["text"].to_pylist(), rows["spans"].to_pylist(), strict=True):
         parsed = [s.split(":") for s in spans.split(",") if s]

@@ -3,7 +3,7 @@
 A text is a bag of hashed features: every lower-cased word, and every run of 3 to 5
 characters of ``<word>`` with its end marks. Each feature has an embedding, a document is
 the mean of its embeddings, and a two-class softmax reads the mean; embeddings and
-softmax are trained jointly by Adam on the driver. Unseen misspellings share most of
+softmax are trained jointly by Adam in one worker. Unseen misspellings share most of
 their character runs with the words they come from. For scoring, embedding and softmax
 fold into one number for each hashed feature (a table of fixed size), so executors add up numbers over
 whole texts.
@@ -23,6 +23,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -110,9 +111,12 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int
         ids, n = np.unique(np.concatenate(got) if got else np.zeros(0, np.int32), return_counts=True)
         bags.append((ids.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32)))
     size = 1 << BITS
-    in_docs = np.bincount(np.concatenate([i for i, _ in bags]), minlength=size) if bags else np.zeros(size)
+    in_docs = np.zeros(size, dtype=np.int64)
+    for ids, _ in bags:
+        in_docs[ids] += 1
     known = in_docs >= min(LEAST_DOCS, len(texts))
-    bags = [(i[known[i]], s[known[i]]) for i, s in bags]
+    for k, (ids, share) in enumerate(bags):  # one by one, so that memory holds them once
+        bags[k] = ids[known[ids]], share[known[ids]]
     emb = rng.normal(0, 0.1, (DIM, size)).astype(np.float32)
     soft = rng.normal(0, 0.1, (2, DIM)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
@@ -162,6 +166,18 @@ def untrained(totals: dict[int, int]) -> tuple[np.ndarray, float]:
     return np.zeros(1 << BITS, dtype=np.float32), float(np.log(share / (1 - share)))
 
 
+def _learn(rows: pa.Table, totals: dict[int, int]) -> tuple[np.ndarray, float] | None:
+    """Train on the sample's doc_id, toxic, text; None without texts of both classes."""
+    rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    y = rows["toxic"].to_numpy().astype(np.int64)
+    if len(np.unique(y)) < 2:
+        return None
+    have = np.maximum(np.bincount(y, minlength=2), 1)
+    weight = np.array([totals[0], totals[1]]) / have
+    w = weight[y]
+    return train(rows["text"].to_pylist(), y, (w / w.mean()).astype(np.float32))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> tuple[np.ndarray, float]:
     """Train on a bounded sample of the labelled rows outside fold 0."""
     known = (
@@ -181,14 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> tuple[np.n
     # at most 2 * per_class ids: a proven bound, so broadcast
     # of texts that share an id the smallest is learned
     once = text.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = once.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    y = rows["toxic"].to_numpy().astype(np.int64)
-    if len(np.unique(y)) < 2:
-        return untrained(totals)
-    have = np.maximum(np.bincount(y, minlength=2), 1)
-    weight = np.array([totals[0], totals[1]]) / have
-    w = weight[y]
-    return train(rows["text"].to_pylist(), y, (w / w.mean()).astype(np.float32))
+    return C.on_one_worker(once, partial(_learn, totals=totals)) or untrained(totals)
 
 
 def _score_rows(model):

@@ -158,3 +158,9 @@ def test_training_rows_are_bounded_and_alone(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert pii.fit(d, sample=5, excerpts=3) is not None
     assert pii.fit(d.limit(0)) is None
+
+
+def test_training_is_not_the_drivers(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"mail a{i}@b.example now " * 30) for i in range(9)], "doc_id long, text string")
+    monkeypatch.setattr(pii, "train", None)  # the driver's; workers have their own
+    assert pii.fit(d).params

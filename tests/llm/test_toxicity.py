@@ -132,3 +132,11 @@ def test_repeated_ids_train_the_same_way(spark):
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     a, b = (toxicity.fit(spark.createDataFrame(x, "doc_id long, text string"), lab) for x in (rows, rows[::-1]))
     assert np.array_equal(a[0], b[0]) and a[1] == b[1]
+
+
+def test_training_is_not_the_drivers(spark, monkeypatch):
+    docs, labels = corpus(60)
+    d = spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string")
+    monkeypatch.setattr(toxicity, "train", None)  # the driver's; workers have their own
+    table, _ = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert table.any()
