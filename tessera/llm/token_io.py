@@ -14,7 +14,9 @@ announces one that the block has not had, by an adaptive distribution of its bit
 and its lower bits. All decisions drive one 32-bit range coder, in integers only, so every
 machine decodes what any other has coded.
 
-Blocks are coded side by side in numpy, one lane for each block, step by step.
+The coder stands here twice, bit by bit the same: ``token_coder.java`` codes the files, one
+block after the other in the executors' JVM; ``compress`` and ``decompress`` code blocks side
+by side in numpy, one lane for each block, where no Spark is at hand, some ten times slower.
 
 File format: Parquet rows (shard, block, n_ids, crc32, payload, doc_ids, doc_sizes),
 shards ascending with doc_id, blocks ascending within; doc_ids and doc_sizes list the
@@ -28,13 +30,17 @@ from __future__ import annotations
 
 import json
 import math
+import struct
+import tempfile
+import zipfile
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,6 +50,8 @@ BLOCK = 4096
 LANES = 1024
 SLOTS = 1 << 12
 END = 2
+#: Blocks that a worker hands over, or takes, at once.
+BATCH = 64
 CACHE = 700_000
 _TOP, _BOT = 1 << 24, 1 << 16
 _M32 = np.int64(0xFFFFFFFF)
@@ -86,7 +94,7 @@ class Encoder:
         if len(self._known) >= CACHE:
             self._known.clear()
         ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        got = np.array(ids, dtype="<u4").tobytes()
+        got = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             self._known[piece] = got
         return got
@@ -407,9 +415,41 @@ def decompress(payloads: list[bytes], sizes: list[int], checksums: list[int] | N
     return out
 
 
+# --- the same coder in the executors' JVM --------------------------------------------------
+
+_shipped: dict[str, str] = {}  # jar by application
+
+
+def coder_functions(spark: SparkSession) -> None:
+    """SQL functions token_encode(ids) and token_decode(payload, n_ids) in this session.
+
+    token_coder.java is compiled by the compiler that Spark uses for its own plans, and the
+    executors fetch the classes from the driver as they fetch any jar.
+    """
+    sc, jvm = spark.sparkContext, spark._jvm
+    source = (Path(__file__).parent / "token_coder.java").read_text(encoding="utf-8")
+    values = {"TOP": _TOP, "BOT": _BOT, "SLOTS": SLOTS, "CLASSES": CLASSES, "ONE": _ONE, "FULL": _FULL, "RATE": RATE}
+    values |= {name: "".join(f"{x + 2048:04x}" for x in t.tolist()) for name, t in (("STRETCH", _STRETCH), ("SQUASH", _SQUASH))}
+    for name, value in values.items():
+        source = source.replace(f"@{name}@", str(value))
+    compiler = jvm.org.codehaus.janino.SimpleCompiler()
+    compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    compiler.cook(source)
+    if sc.applicationId not in _shipped:
+        _shipped[sc.applicationId] = jar = f"{tempfile.mkdtemp(prefix='coder')}/token-coder.jar"
+        with zipfile.ZipFile(jar, "w") as out:
+            for name, code in dict(compiler.getBytecodes()).items():
+                out.writestr(f"{name.replace('.', '/')}.class", bytes(code))
+        sc._jsc.sc().addJar(jar)
+    for name, cls in (("token_encode", "TokenEncode"), ("token_decode", "TokenDecode")):
+        function = compiler.getClassLoader().loadClass(cls).newInstance()
+        spark._jsparkSession.udf().register(name, function, jvm.org.apache.spark.sql.types.DataTypes.BinaryType)
+
+
 # --- tables ------------------------------------------------------------------------------
 
 
+_PLAIN = "shard int, block int, n_ids int, crc32 long, ids binary, doc_ids array<long>, doc_sizes array<int>"
 _FILE = "shard int, block int, n_ids int, crc32 long, payload binary, doc_ids array<long>, doc_sizes array<int>"
 
 
@@ -436,7 +476,7 @@ def _write_rows(model, end: int, added_tokens: bool):
                     "block": pa.array(range(number, number + len(blocks)), pa.int32()),
                     "n_ids": pa.array([len(b) for b in blocks], pa.int32()),
                     "crc32": pa.array([zlib.crc32(b.tobytes()) for b in blocks], pa.int64()),
-                    "payload": pa.array(compress(blocks), pa.binary()),
+                    "ids": pa.array([b.tobytes() for b in blocks], pa.binary()),
                     "doc_ids": pa.array([s[0] for s in starts], pa.list_(pa.int64())),
                     "doc_sizes": pa.array([s[1] for s in starts], pa.list_(pa.int32())),
                 }
@@ -452,7 +492,7 @@ def _write_rows(model, end: int, added_tokens: bool):
                 docs.append((size, doc_id, len(got) // 4))
                 held.append(got)
                 size += len(got) // 4
-                if size >= LANES * BLOCK:
+                if size >= BATCH * BLOCK:
                     yield flush(False)
         if size:
             yield flush(True)
@@ -466,16 +506,18 @@ def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def documents(rows) -> Iterator[tuple]:
         nonlocal shard, place, crc, open_docs
-        blocks = decompress([r["payload"] for r in rows], [r["n_ids"] for r in rows], [r["crc32"] for r in rows])
-        for r, ids in zip(rows, blocks, strict=True):
+        for r in rows:
+            data, n_ids = r["ids"], r["n_ids"]
+            if zlib.crc32(data) != r["crc32"]:
+                raise ValueError(f"block {r['block']} of shard {r['shard']} is damaged")
             if r["shard"] != shard:
                 shard, place, crc, open_docs = r["shard"], 0, 0, []
             # documents that start in this block follow any that is still open
             open_docs += [[d, n, n] for d, n in zip(r["doc_ids"], r["doc_sizes"], strict=True)]
-            data, at = ids.tobytes(), 0
-            while at < len(ids) and open_docs:
+            at = 0
+            while at < n_ids and open_docs:
                 doc = open_docs[0]
-                n = min(doc[2], len(ids) - at)
+                n = min(doc[2], n_ids - at)
                 crc = zlib.crc32(data[4 * at : 4 * (at + n)], crc)
                 at, doc[2] = at + n, doc[2] - n
                 if not doc[2]:
@@ -489,14 +531,9 @@ def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), *[pa.int64()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(found, kinds, strict=True)], names=names)
 
-    held: list = []
     for batch in batches:
-        held += batch.to_pylist()
-        while len(held) >= LANES:
-            yield group(held[:LANES])
-            held = held[LANES:]
-    if held:
-        yield group(held)
+        for k in range(0, batch.num_rows, BATCH):
+            yield group(batch.slice(k, BATCH).to_pylist())
 
 
 def write_tokens(docs: DataFrame, path: str, model_path: str | None = None, end: int = END, added_tokens: bool = False) -> None:
@@ -511,14 +548,18 @@ def write_tokens(docs: DataFrame, path: str, model_path: str | None = None, end:
         model = spark.sparkContext.broadcast(f.read())  # the tokenizer file, 2 MB
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_column().alias("text"), F.xxhash64(C.text_column()).alias("tie"))
     ordered = base.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    ordered.mapInArrow(_write_rows(model, end, added_tokens), _FILE).write.parquet(path)
+    plain = ordered.mapInArrow(_write_rows(model, end, added_tokens), _PLAIN)
+    coder_functions(spark)
+    plain.select("shard", "block", "n_ids", "crc32", F.call_function("token_encode", "ids").alias("payload"), "doc_ids", "doc_sizes").write.parquet(path)
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the rows of the file format."""
     C.ship(files.sparkSession)
+    coder_functions(files.sparkSession)
     rows = files.repartition("shard").sortWithinPartitions("shard", "block")
-    found = rows.mapInArrow(_read_rows, "shard int, doc_id long, place long, n_tokens long, ids_crc32 long")
+    plain = rows.select("shard", "block", "n_ids", "crc32", F.call_function("token_decode", "payload", "n_ids").alias("ids"), "doc_ids", "doc_sizes")
+    found = plain.mapInArrow(_read_rows, "shard int, doc_id long, place long, n_tokens long, ids_crc32 long")
     sizes = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # one row for each shard
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -120,3 +120,38 @@ def test_tables_of_the_mixer_and_block_limit():
     assert token_io.compress([]) == [] and token_io.decompress([], []) == []
     with pytest.raises(ValueError):
         token_io.compress([np.zeros(1 << 14, dtype="<u4")])
+
+
+def test_both_coders_are_one(spark):
+    """The JVM's coder, which writes and reads the files, against the one in numpy."""
+    rng = np.random.default_rng(3)
+    blocks = [rng.integers(0, [2, 300, 50257, 131072][k % 4], rng.integers(0, 700)).astype("<u4") for k in range(40)]
+    blocks += [np.minimum(rng.zipf(1.2, 4096), 131071).astype("<u4") for _ in range(8)]
+    blocks += [np.zeros(0, "<u4"), np.full(600, 50256, "<u4"), np.tile(np.arange(50, dtype="<u4"), 20), np.arange(16383, dtype="<u4")]
+    token_io.coder_functions(spark)
+    d = spark.createDataFrame([(k, b.tobytes(), len(b)) for k, b in enumerate(blocks)], "k int, ids binary, n int")
+    coded = d.selectExpr("k", "ids", "n", "token_encode(ids) as payload").collect()
+    payloads = [bytes(r.payload) for r in sorted(coded, key=lambda r: r.k)]
+    assert payloads == token_io.compress(blocks)
+    back = spark.createDataFrame(coded).selectExpr("ids", "token_decode(payload, cast(n as int)) as back").collect()
+    assert all(r.ids == r.back for r in back)
+
+
+def test_damaged_file_is_refused(spark, tmp_path):
+    d = spark.createDataFrame([(k, "some words of text " * 50) for k in range(20)], "doc_id long, text string")
+    token_io.write_tokens(d, f"{tmp_path}/tokens")
+    files = spark.read.parquet(f"{tmp_path}/tokens")
+    assert token_io.read_tokens(files).count() == 20
+    with pytest.raises(Exception, match="damaged"):
+        token_io.read_tokens(files.selectExpr("shard", "block", "n_ids", "crc32 + 1 as crc32", "payload", "doc_ids", "doc_sizes")).collect()
+
+
+def test_files_are_not_coded_in_python(spark, monkeypatch):
+    """A GB is some 400 million ids, which numpy takes four budgets to code and decode."""
+    rows = token_io._write_rows(type("", (), {"value": open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()}), 2, True)
+    monkeypatch.setattr(token_io, "compress", None)
+    monkeypatch.setattr(token_io.TaskContext, "get", lambda: type("", (), {"partitionId": lambda: 0}))
+    import pyarrow as pa
+
+    (batch,) = rows(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words"]})]))
+    assert batch.column("n_ids").to_pylist() == [3]
