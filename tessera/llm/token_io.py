@@ -65,6 +65,16 @@ _SPEED = np.array([[4], [4], [5]], dtype=np.int16)  # shifts by which the three
 # --- tokenizer ------------------------------------------------------------------------
 
 
+def _spelling() -> dict[int, int]:
+    """The character of each byte in a byte-level vocabulary: its own if it can be printed."""
+    printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printed]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
+_SPELT = _spelling()
+
+
 class Encoder:
     """The tokenizers library behind a memory of pieces.
 
@@ -83,17 +93,32 @@ class Encoder:
         self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         import re
 
-        # the same pattern for texts of ASCII and Latin letters only, where the classes agree
-        self._fast = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+        # the same pattern for texts of ASCII and Latin letters only, where the classes are
+        # short; what starts with a letter or digit comes first, as no other branch does
+        letter, space = "A-Za-zÀ-ÖØ-öø-ɏ", r"\t-\r "
+        self._fast = re.compile(
+            f" ?[{letter}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^{space}0-9{letter}]+|[{space}]+(?![^{space}])|[{space}]+"
+        ).findall
         self._odd = re.compile("[^\x00-\x1b\x20-\x7fÀ-ɏ]").search
-        added = [re.escape(t["content"]) for t in json.loads(model).get("added_tokens", [])] if added_tokens else []
+        file = json.loads(model)
+        known = file.get("added_tokens", [])
+        added = [re.escape(t["content"]) for t in known] if added_tokens else []
         self._whole = re.compile("|".join(added)).search if added else None
+        # where the library would only split a piece again and spell its bytes, its model
+        # gets the spelt piece at once
+        split = file.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        plain &= file.get("normalizer") is None and file["model"].get("type") == "BPE" and all(t["special"] for t in known)
+        self._merge = self.tokenizer.model.tokenize if plain else None
         self._known: dict[str, bytes] = {}
 
     def _fresh(self, piece: str) -> bytes:
         if len(self._known) >= CACHE:
             self._known.clear()
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        if self._merge:
+            ids = [t.id for t in self._merge(piece.encode().decode("latin-1").translate(_SPELT))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
         got = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             self._known[piece] = got
