@@ -28,6 +28,7 @@ ids are ordered by a hash of their texts; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import codecs
 import json
 import math
 import struct
@@ -52,7 +53,7 @@ SLOTS = 1 << 12
 END = 2
 #: Blocks that a worker hands over, or takes, at once.
 BATCH = 64
-CACHE = 700_000
+CACHE = 1_200_000
 _TOP, _BOT = 1 << 24, 1 << 16
 _M32 = np.int64(0xFFFFFFFF)
 CLASSES = 18  # bit lengths 0 to 17 of an id
@@ -65,11 +66,11 @@ _SPEED = np.array([[4], [4], [5]], dtype=np.int16)  # shifts by which the three
 # --- tokenizer ------------------------------------------------------------------------
 
 
-def _spelling() -> dict[int, int]:
+def _spelling() -> str:
     """The character of each byte in a byte-level vocabulary: its own if it can be printed."""
     printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in printed]
-    return {b: 256 + k for k, b in enumerate(rest)}
+    return "".join(chr(b if b in printed else 256 + rest.index(b)) for b in range(256))
 
 
 _SPELT = _spelling()
@@ -111,16 +112,19 @@ class Encoder:
         plain &= file.get("normalizer") is None and file["model"].get("type") == "BPE" and all(t["special"] for t in known)
         self._merge = self.tokenizer.model.tokenize if plain else None
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _fresh(self, piece: str) -> bytes:
-        if len(self._known) >= CACHE:
-            self._known.clear()
-        if self._merge:
-            ids = [t.id for t in self._merge(piece.encode().decode("latin-1").translate(_SPELT))]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        got = struct.pack(f"<{len(ids)}I", *ids)
+        got = self._older.get(piece)
+        if got is None:
+            if self._merge:
+                ids = [t.id for t in self._merge(codecs.charmap_decode(piece.encode(), "strict", _SPELT)[0])]
+            else:
+                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            got = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
+            if len(self._known) >= CACHE // 2:  # pieces still in use come back from there
+                self._older, self._known = self._known, {}
             self._known[piece] = got
         return got
 

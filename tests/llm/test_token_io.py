@@ -155,3 +155,13 @@ def test_files_are_not_coded_in_python(spark, monkeypatch):
 
     (batch,) = rows(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words"]})]))
     assert batch.column("n_ids").to_pylist() == [3]
+
+
+def test_small_memory_of_pieces(monkeypatch):
+    monkeypatch.setattr(token_io, "CACHE", 6)
+    lib = library()
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        enc = token_io.Encoder(f.read())
+    for t in ["one two three four five one two six", "it's  été_1 ÷\n\n x", *TEXTS, "one two three"]:
+        assert np.frombuffer(enc.encode_bytes(t), dtype="<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+        assert len(enc._known) + len(enc._older) <= 6
