@@ -16,7 +16,7 @@ machine decodes what any other has coded.
 
 The coder stands here twice, bit by bit the same: ``token_coder.java`` codes the files, one
 block after the other in the executors' JVM; ``compress`` and ``decompress`` code blocks side
-by side in numpy, one lane for each block, where no Spark is at hand, some ten times slower.
+by side in numpy, one lane for each block, where no Spark is at hand.
 
 File format: Parquet rows (shard, block, n_ids, crc32, payload, doc_ids, doc_sizes),
 shards ascending with doc_id, blocks ascending within; doc_ids and doc_sizes list the
